@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.functions.money import with_numeric_columns
+from dealflow.functions.text import url_hash
 
 AS_OF = "2001-08-01 00:00:00"
 
@@ -98,7 +99,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_numeric_columns(texts(spark, sf_dir))
+    return with_numeric_columns(texts(spark, sf_dir)).withColumn("listing_hash", url_hash(F.col("url")))
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,3 +108,32 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, BATCH)
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listings; those with a vector have it as their description embedding."""
+    docs, vectors = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
+    return joined.select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("https://example.org/d/"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("source"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.lit("Reno").alias("city"),
+        F.lit("NV").alias("state"),
+        F.when(F.col("doc_id") % 4 == 0, "CA").otherwise("US").alias("country"),
+        F.col("lang").alias("industry"),
+        F.col("text").alias("description"),
+        *[F.lit("N/A").alias(c) for c in ("listed_by_firm", "listed_by_name", "phone", "email")],
+        F.concat(F.lit("$"), F.col("n_chars").cast("string")).alias("price"),
+        *[F.lit("N/A").alias(c) for c in ("gross_revenue", "cash_flow", "inventory", "ebitda")],
+        *[F.lit("N/A").alias(c) for c in ("financial_data", "source_link", "extra_information", "deal_date")],
+        *[F.lit(AS_OF).cast("timestamp").alias(c) for c in ("first_seen_date", "last_seen_date")],
+        F.lit("2001-07-31").alias("scraping_date"),
+        F.col("embedding").alias("description_embedding"),
+    )
+
+
+def perturbed(vector):
+    """Every eighth element set to zero."""
+    return F.transform(vector, lambda x, i: F.when(i % 8 == 0, F.lit(0.0).cast("float")).otherwise(x))

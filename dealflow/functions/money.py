@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 from dealflow.functions.text import strip_space
 from dealflow.schema import MONEY, NUMERIC_COLUMNS
 
-# Upper-cased texts that mean "no amount".
-NO_AMOUNT = ["", "N/A", "NA", "NULL", "NONE", "-", "--"]
+PLAIN_NUMBER = r"\A[+-]?[0-9]+(\.[0-9]+)?\z"
 
 
 def _plain_number(text: Column) -> Column:
-    """Accounting brackets become a minus sign, then thousands marks, dollar signs and spaces go."""
-    bracketed = text.rlike(r"(?s)\A\(.*\)\z")
-    inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    signed = F.when(bracketed, F.concat(F.lit("-"), inner)).otherwise(text)
-    return F.regexp_replace(signed, "[,$ ]", "")
+    """Accounting brackets become a minus sign, then thousands marks, dollar signs and blanks go.
+
+    Texts for "no amount" (empty, ``N/A``, ``none``, dashes) are no numbers afterwards either.
+    """
+    signed = F.regexp_replace(text, r"(?s)\A\((.*)\)\z", "-$1")
+    return F.translate(signed, ",$ ", "")
 
 
 def money_numeric(value: Column) -> Column:
-    """Exact decimal of a money text, NULL when it is not one. Only blanks are trimmed, not tabs."""
-    text = F.trim(value)
-    number = _plain_number(text)
-    usable = ~F.upper(text).isin(NO_AMOUNT) & number.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\z")
-    return F.when(usable, number.try_cast(MONEY))
+    """Exact decimal of a money text, NULL when it is not one. Only blanks are trimmed, not tabs or line ends."""
+    number = _plain_number(F.trim(value))
+    return F.when(number.rlike(PLAIN_NUMBER), number.try_cast(MONEY))
 
 
 def money_float(value: Column) -> Column:
     """Floating-point reading of a money text; any white space around it is ignored."""
-    text = strip_space(value)
-    number = _plain_number(text)
-    usable = ~F.upper(text).isin(NO_AMOUNT) & number.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\n?\z")
-    return F.when(usable, number.try_cast("double"))
+    number = F.rtrim(_plain_number(strip_space(value)), F.lit("\n"))
+    return F.when(number.rlike(PLAIN_NUMBER), number.try_cast("double"))
 
 
 def money_loose(value: Column) -> Column:

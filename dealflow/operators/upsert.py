@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.functions.money import money_numeric
+from dealflow.functions.money import ensure_numeric_columns, money_numeric
 from dealflow.functions.text import is_present, moment, normalise, url_hash
 from dealflow.schema import LISTING_SCHEMA, NUMERIC_COLUMNS, RECORD_COLUMNS
 
@@ -82,6 +82,7 @@ def upsert(
     id ``largest id + 1 + seq`` (ids may have gaps). Numbers are derived again for the touched rows only.
     """
     now = moment(as_of)
+    listings = as_listings(listings)
     merged = collapse(batch.where(has_url()), updates)
 
     changes = merged.select("url", "last")
@@ -90,8 +91,7 @@ def upsert(
     kept = {c: F.when(touched, F.col(f"last.{c}")).otherwise(F.col(c)) for c in updates}
     kept["last_seen_date"] = F.when(touched, now).otherwise(F.col("last_seen_date"))
     for num, text in NUMERIC_COLUMNS.items():
-        stored = F.col(num) if num in listings.columns else money_numeric(F.col(text))
-        kept[num] = F.when(touched, money_numeric(F.col(f"last.{text}"))).otherwise(stored)
+        kept[num] = F.when(touched, money_numeric(F.col(f"last.{text}"))).otherwise(F.col(num))
     if reset_changed_embeddings and "description_embedding" not in updates:
         changed = touched & ~F.col("last.description").eqNullSafe(F.col("description"))
         kept["description_embedding"] = F.when(~changed, F.col("description_embedding"))
@@ -108,11 +108,12 @@ def upsert(
             **{num: money_numeric(F.col(text)) for num, text in NUMERIC_COLUMNS.items()},
         }
     )
-    return _as_listings(old).unionByName(_as_listings(fresh))
+    return as_listings(old).unionByName(as_listings(fresh))
 
 
-def _as_listings(df: DataFrame) -> DataFrame:
-    """Exactly the stored columns and types; what ``df`` lacks is NULL."""
+def as_listings(df: DataFrame) -> DataFrame:
+    """Exactly the stored columns and types: absent numbers are derived, other absent columns are NULL."""
+    df = ensure_numeric_columns(df)
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dealflow.functions.text import moment
 from dealflow.operators.embed import EMBED_CHARS, RETRY_WAIT, EmbedFn, description_text, embed_column
 from dealflow.operators.upload import classify, duplicate_report, semantic_duplicates, upload_errors, upload_summary
-from dealflow.operators.upsert import UPLOAD_UPDATES, upsert
+from dealflow.operators.upsert import UPLOAD_UPDATES, as_listings, upsert
 from dealflow.session import materialise
 
 
@@ -40,6 +40,7 @@ def upload(
     what the skipped rows resemble, as the entry form does.
     """
     now = moment(as_of)
+    listings = as_listings(listings)
     outcomes = classify(batch, listings)
     text = description_text(chars=None)
     short = F.substring(text, 1, EMBED_CHARS)

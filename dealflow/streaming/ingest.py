@@ -26,18 +26,15 @@ def record_stream(
 
 
 def merge_batch(store: ListingStore, reject_path: str, records: DataFrame, batch_id: int) -> None:
-    """Merge one micro-batch as snapshot ``batch_id + 1``; repeating a finished batch changes nothing.
+    """Merge one micro-batch into a new snapshot. Merging a batch again, after a lost run, finds every URL stored and
+    adds no row.
 
     Records without a URL go to ``reject_path`` and do not hold up the others.
     """
-    version = batch_id + 1
-    if store.complete(version):
-        return
     numbered = number_rows(normalise_records(records), "seq")
     accepted, rejected = split_rejects(numbered)
     rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-    previous = store.read(version - 1) if store.complete(version - 1) else store.read()
-    store.write(upsert(previous, accepted, F.current_timestamp(), COLLECTOR_UPDATES), version)
+    store.write(upsert(store.read(), accepted, F.current_timestamp(), COLLECTOR_UPDATES))
 
 
 def start_ingest(
