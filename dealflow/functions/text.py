@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from dealflow.schema import NA
 
-# White space as Python's str.strip() sees it.
+# White space as Python's str.strip() sees it, as characters and as a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+SPACES += "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 # Lower-cased texts that count as no value.
@@ -35,7 +37,7 @@ BLOCK_SCAN_CHARS = 12000
 
 
 def strip_space(value: Column) -> Column:
-    return F.regexp_replace(value, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def collapse_space(value: Column) -> Column:
@@ -67,7 +69,8 @@ def is_present(value: Column) -> Column:
 
 
 def display_text(value: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(NA))
+    text = F.trim(value)
+    return F.when(text != "", text).otherwise(F.lit(NA))
 
 
 def source_label(value: Column) -> Column:
