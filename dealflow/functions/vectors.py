@@ -22,8 +22,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
     Arrow batches instead.
     """
     size = norm(a) * norm(b)
-    distance = F.lit(1.0) - F.try_divide(dot(a, b), size)
-    return F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance))
+    distance = F.lit(1.0) - dot(a, b) / size
+    return F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)))
 
 
 def similarity(distance: Column) -> Column:
