@@ -72,7 +72,8 @@ def read_url_rows(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     A quoted cell may hold line breaks, so a file is one task; ``multi_line=False`` splits large files by line.
     """
     if multi_line:
-        texts = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-8")).alias("text"))
+        content = F.make_valid_utf8(F.col("content").cast("string"))
+        texts = spark.read.format("binaryFile").load(path).select(content.alias("text"))
     else:
         texts = spark.read.text(path).select(F.col("value").alias("text"))
 
