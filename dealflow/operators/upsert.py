@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.functions.money import ensure_numeric_columns, money_numeric
+from dealflow.functions.money import ensure_numeric_columns, money_numeric, with_numeric_columns
 from dealflow.functions.text import is_present, moment, normalise, url_hash
 from dealflow.schema import LISTING_SCHEMA, NUMERIC_COLUMNS, RECORD_COLUMNS
 
@@ -78,8 +78,8 @@ def upsert(
 ) -> DataFrame:
     """The listing table after the batch, applied in ``seq`` order.
 
-    A known URL gets the batch's last values for ``updates`` and a new last-seen date; a new URL becomes a row with
-    id ``largest id + 1 + seq`` (ids may have gaps). Numbers are derived again for the touched rows only.
+    A known URL gets the batch's last values for ``updates`` and a new last-seen date; a new URL becomes a row.
+    Numbers are derived again for the touched rows only.
     """
     now = moment(as_of)
     listings = as_listings(listings)
@@ -97,18 +97,23 @@ def upsert(
         kept["description_embedding"] = F.when(~changed, F.col("description_embedding"))
     old = old.withColumns(kept).drop("last")
 
-    largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = new_rows(merged, listings).select("url", "seq", "first.*", "last.*")
-    fresh = fresh.withColumns(
-        {
-            "id": largest + 1 + F.col("seq"),
-            "listing_hash": url_hash(F.col("url")),
-            "first_seen_date": now,
-            "last_seen_date": now,
-            **{num: money_numeric(F.col(text)) for num, text in NUMERIC_COLUMNS.items()},
-        }
+    return as_listings(old).unionByName(added_listings(listings, fresh, now))
+
+
+def added_ids(listings: DataFrame, rows: DataFrame) -> DataFrame:
+    """Give new rows the id ``largest id + 1 + seq`` (ids may have gaps)."""
+    largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return rows.withColumn("id", largest + 1 + F.col("seq"))
+
+
+def added_listings(listings: DataFrame, rows: DataFrame, as_of=None) -> DataFrame:
+    """Rows of new URLs as listings, with id, hash, numbers and dates."""
+    now = moment(as_of)
+    added = with_numeric_columns(added_ids(listings, rows)).withColumns(
+        {"listing_hash": url_hash(F.col("url")), "first_seen_date": now, "last_seen_date": now}
     )
-    return as_listings(old).unionByName(as_listings(fresh))
+    return as_listings(added)
 
 
 def as_listings(df: DataFrame) -> DataFrame:

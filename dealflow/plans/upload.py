@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from dealflow.functions.text import moment
 from dealflow.operators.embed import EMBED_CHARS, RETRY_WAIT, EmbedFn, description_text, embed_column
 from dealflow.operators.upload import classify, duplicate_report, semantic_duplicates, upload_errors, upload_summary
-from dealflow.operators.upsert import UPLOAD_UPDATES, as_listings, upsert
+from dealflow.operators.upsert import added_ids, added_listings, as_listings
 from dealflow.session import materialise
 
 
 @dataclass(frozen=True)
 class UploadResult:
-    """``listings`` is the table after the upload; the rest reports on the batch."""
+    """``listings`` is the table after the upload, ``added`` its new rows; the rest reports on the batch."""
 
     outcomes: DataFrame
     summary: DataFrame
     errors: DataFrame
     similar: DataFrame
     report: DataFrame
+    added: DataFrame
     listings: DataFrame
 
 
@@ -56,14 +57,14 @@ def upload(
     inserted = done.where(F.col("status") == "inserted")
     asked = done if check_skipped else inserted
     queries = asked.where(F.col("status") != "error").select(F.col("seq").alias("query_id"), "embedding", "seq")
-    rows = inserted.drop("status", "embedding").withColumn("scraping_date", F.date_format(now, "yyyy-MM-dd"))
-    after = upsert(listings, rows, now, UPLOAD_UPDATES)
+    # Every row that is let in has a new URL, so they are added as they are, without touching the stored rows.
+    dated = inserted.drop("embedding").withColumn("scraping_date", F.date_format(now, "yyyy-MM-dd"))
+    added = added_listings(listings, dated, now)
+    after = listings.unionByName(added)
 
-    largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    stored = listings.select("id", F.col("description_embedding").alias("embedding"), F.lit(-1).alias("seq"))
-    earlier = inserted.select(
-        (largest + 1 + F.col("seq")).alias("id"), F.col("description_embedding").alias("embedding"), "seq"
-    )
+    vector = F.col("description_embedding").alias("embedding")
+    stored = listings.select("id", vector, F.lit(-1).cast("long").alias("seq"))
+    earlier = added_ids(listings, inserted).select("id", vector, "seq")
     similar = semantic_duplicates(queries, stored.unionByName(earlier))
     return UploadResult(
         outcomes=done.drop("embedding", "description_embedding"),
@@ -71,5 +72,6 @@ def upload(
         errors=upload_errors(done),
         similar=similar,
         report=duplicate_report(similar, done, after),
+        added=added,
         listings=after,
     )

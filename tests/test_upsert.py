@@ -158,6 +158,23 @@ def test_snapshots(spark, tmp_path):
     assert store.read(1).count() == 1
 
 
+def test_bucketed_snapshots_are_merged_without_shuffling_them(spark, tmp_path):
+    store = ListingStore(spark, str(tmp_path / "store"), buckets=4)
+    ingest(store, records(spark, *[{"url": f"u{n}", "title": "a"} for n in range(50)]), AS_OF)
+    batch = records(spark, *[{"url": f"u{n}", "title": "b"} for n in range(40, 60)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(upsert.upsert(store.read(), batch, AS_OF))
+        assert ingest(store, batch, AS_OF) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tables = [line for line in plan.splitlines() if "FileScan" in line and "Bucketed: true" in line]
+    assert len(tables) >= 2
+    again = ListingStore(spark, str(tmp_path / "store"), buckets=4).read()
+    titles = {r["url"]: r["title"] for r in again.collect()}
+    assert len(titles) == 60 and titles["u39"] == "a" and titles["u40"] == titles["u59"] == "b"
+
+
 def test_failed_ingest_keeps_the_table_and_saves_the_records(spark, tmp_path, monkeypatch):
     import pytest
 
