@@ -45,8 +45,9 @@ def collapse_space(value: Column) -> Column:
 
 
 def value_or_na(text: Column) -> Column:
-    """``N/A`` for NULL and for every empty-like value."""
-    return F.when(F.lower(text).isin(EMPTY_VALUES), F.lit(NA)).otherwise(F.coalesce(text, F.lit(NA)))
+    """``N/A`` for NULL and for every empty-like value (longer texts need no look)."""
+    short = F.octet_length(text) <= max(map(len, EMPTY_VALUES))
+    return F.when(short & F.lower(text).isin(EMPTY_VALUES), F.lit(NA)).otherwise(F.coalesce(text, F.lit(NA)))
 
 
 def normalise(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.functions.money import ensure_numeric_columns, money_numeric, with_numeric_columns
-from dealflow.functions.text import is_present, moment, normalise, url_hash
+from dealflow.functions.text import is_present, moment, strip_space, url_hash, value_or_na
 from dealflow.schema import LISTING_SCHEMA, NUMERIC_COLUMNS, RECORD_COLUMNS
 
 # Columns a repeated URL overwrites; every other column keeps its first value.
@@ -20,9 +20,13 @@ UPLOAD_UPDATES = [
 
 
 def normalise_records(records: DataFrame) -> DataFrame:
-    """Normalise all 22 text columns; a column that is absent reads as missing."""
-    values = {c: normalise(F.col(c)) if c in records.columns else F.lit("N/A") for c in RECORD_COLUMNS}
-    return records.withColumns(values)
+    """Normalise all 22 text columns; a column that is absent reads as missing.
+
+    Trimming comes as a projection of its own, so that each trimmed text is made once.
+    """
+    texts = {c: F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string") for c in RECORD_COLUMNS}
+    trimmed = records.withColumns({c: strip_space(t) for c, t in texts.items()})
+    return trimmed.withColumns({c: value_or_na(F.col(c)) for c in RECORD_COLUMNS})
 
 
 def has_url(url: str = "url") -> Column:
