@@ -305,7 +305,7 @@ SELECT id, {na(squeeze('parts[1]'))} AS city, CASE WHEN len(parts) >= 2 THEN {na
     "manual_url": "SELECT doc_id, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 = 0 THEN 'https://example.com/x' ELSE 'manual://' || sha256(source || text) END AS url FROM documents",
     "collector_map": collected(False),
     "collector_map_legacy": collected(True),
-    "collector_files": f"""WITH c AS ({collected(False)}) SELECT title, price, gross_revenue, cash_flow, ebitda, extra_information FROM c
+    "collector_files": f"""WITH c AS ({collected(False)}) SELECT row_number() OVER (ORDER BY id) - 1 AS seq, title, price, gross_revenue, cash_flow, ebitda, extra_information FROM c
 WHERE {SCREEN}""",
     "financial_screen": f"WITH {RAW} SELECT id FROM raw WHERE {SCREEN}",
     "financial_screen_software": f"WITH {RAW} SELECT id FROM raw WHERE {loose('gross_revenue')} >= 2000000",
@@ -326,7 +326,7 @@ SELECT id, 'Deal ' || CAST(id AS VARCHAR) AS title, {na(squeeze('parts[1]'))} AS
     "url_list_first_seen": """WITH c AS (SELECT page_id, CASE WHEN starts_with(url, 'http') AND contains(url, 'example.com') THEN url
     ELSE CASE WHEN page_id % 5 = 0 THEN 'https://alt.example.com/Business-Auction/' ELSE 'https://alt.example.com/b/' END || CAST(page_id % 17 AS VARCHAR) END AS u FROM pages)
 SELECT u AS url, min(page_id) AS seq FROM c WHERE NOT contains(u, 'Business-Auction') GROUP BY 1""",
-    "listing_csv": f"WITH {RAW} SELECT " + ", ".join(f"{norm(c)} AS {c}" for c in RECORD) + " FROM raw",
+    "listing_csv": f"WITH {RAW} SELECT row_number() OVER (ORDER BY id) - 1 AS seq, " + ", ".join(f"{norm(c)} AS {c}" for c in RECORD) + " FROM raw",
     "upsert_collector": merged(COLLECTOR_UPDATES, "id, url, listing_hash, title, state, description, price, gross_revenue, cash_flow, ebitda, inventory, financial_data, scraping_date, price_num, gross_revenue_num, cash_flow_num, ebitda_num, first_seen_date, last_seen_date"),
     "upsert_upload": merged(UPLOAD_UPDATES, "id, url, title, inventory, price, price_num, description, scraping_date, CASE WHEN touched THEN (SELECT max(b.seq) % 7 FROM batch b WHERE b.url = after.url)::DOUBLE END AS embedding_first"),
     "existing_urls": f"WITH {RAW}, batch AS ({BATCH_SQL}) SELECT seq, url FROM batch WHERE url IN (SELECT url FROM raw)",

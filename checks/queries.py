@@ -318,10 +318,10 @@ def collector_map_legacy(spark, sf):
 def collector_files(spark, sf):
     """Items written as files of result pages, read back, mapped, screened and counted."""
     path = work_path(spark, "items")
-    folded = _items(spark, sf).select(F.concat(F.lit('{"results":['), "json", F.lit("]}")).alias("value"))
+    folded = _items(spark, sf).orderBy("id").select(F.concat(F.lit('{"results":['), "json", F.lit("]}")).alias("value"))
     folded.write.text(path)
     found = item_files.collect_items(item_files.read_items(spark, path), SITE, SITE_URL, TODAY, mode="non-software")
-    return found.select("title", "price", "gross_revenue", "cash_flow", "ebitda", "extra_information")
+    return found.select("seq", "title", "price", "gross_revenue", "cash_flow", "ebitda", "extra_information")
 
 
 @query
@@ -381,8 +381,8 @@ def url_list_first_seen(spark, sf):
 def listing_csv(spark, sf):
     """Records written to CSV, read back and normalised."""
     path = work_path(spark, "csv")
-    csv_files.write_listing_csv(tables.texts(spark, sf), path)
-    return upsert.normalise_records(csv_files.read_listing_csv(spark, path))
+    csv_files.write_listing_csv(tables.texts(spark, sf).orderBy("id"), path)
+    return csv_files.numbered_records(csv_files.read_listing_csv(spark, path))
 
 
 # ---- upsert and upload -------------------------------------------------------------------------------------------
@@ -479,7 +479,7 @@ def upload_listings(spark, sf):
 def stream_ingest(spark, sf):
     """Record files merged by a stream into an empty table."""
     files, root = work_path(spark, "records"), work_path(spark, "stream")
-    tables.batch(spark, sf).select("url", *[c for c in RECORD_COLUMNS if c != "url"]).write.json(files, ignoreNullFields=False)
+    tables.batch(spark, sf).orderBy("seq").select(*RECORD_COLUMNS).write.json(files)
     store = ListingStore(spark, f"{root}/listings")
     start_ingest(record_stream(spark, files), store, f"{root}/rejects", f"{root}/checkpoint").awaitTermination()
     return store.read().select("url", "state", F.col("first_seen_date").isNotNull().alias("dated"))

@@ -78,8 +78,16 @@ FROM ({RAW_LISTINGS}) AS r
 """
 
 
+SPREAD = {"orders", "documents", "pages", "embeddings"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. A small file is a single task, so its rows are spread over the cores before heavier work."""
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

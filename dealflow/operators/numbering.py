@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from dealflow.session import materialise
 
 _PART, _POSITION = "_part", "_position"
+# Where a row comes from: its file and the part of that file which one task reads.
+ORIGIN = {"_file": "_metadata.file_path", "_block": "_metadata.file_block_start"}
+
+
+def with_origin(files: DataFrame) -> DataFrame:
+    """Remember each row's file and block, for ``number_rows``."""
+    return files.select("*", *[F.col(source).alias(name) for name, source in ORIGIN.items()])
 
 
 def number_rows(df: DataFrame, column: str) -> DataFrame:
-    """Add 0-based row numbers in the current order of ``df`` (file order, or the order of a sort).
+    """Add 0-based row numbers: by file name and position after ``with_origin``, else in the current order of ``df``.
 
-    The rows are written once, one file per partition. A row's number is its index in that file plus the sizes
-    of the earlier partitions, so only one count per partition is ever brought together.
+    The rows are written once, one file per task. Within a task the rows of a block follow each other, so a row's
+    number is its distance from the block's first row plus the sizes of the earlier blocks, and only one short row
+    per block and task is ever brought together.
     """
+    origin = [c for c in ORIGIN if c in df.columns]
+    keys = [*origin, _PART]
     stored = materialise(df.withColumn(_PART, F.spark_partition_id()), "numbered")
     placed = stored.select("*", F.col("_metadata.row_index").alias(_POSITION))
-    sizes = stored.groupBy(_PART).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(_PART, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    # One short row per write task, so the broadcast side stays small however many rows there are.
+    blocks = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(_POSITION).alias("_first"))
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*keys, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    # As many rows as the read had file blocks and tasks, a list that the driver holds anyway.
     return (
-        placed.join(F.broadcast(starts), _PART)
-        .withColumn(column, F.col("_start") + F.col(_POSITION))
-        .drop(_PART, _POSITION, "_start")
+        placed.join(F.broadcast(starts), keys)
+        .withColumn(column, F.col("_start") + F.col(_POSITION) - F.col("_first"))
+        .drop(*keys, _POSITION, "_first", "_start")
     )

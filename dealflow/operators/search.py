@@ -82,13 +82,13 @@ def _with_listing(hits: DataFrame, listings: DataFrame) -> DataFrame:
     return listing_view(listings).join(scored, "id")
 
 
-def token_overlap(query: Column, text: Column) -> Column:
-    """Offline stand-in for a reranking model: the share of the query's words that the text has."""
+def words(value: Column) -> Column:
+    """Distinct lower-case words."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(value), r"[^a-z0-9]+")), "")
 
-    def words(value: Column) -> Column:
-        return F.array_remove(F.array_distinct(F.split(F.lower(value), r"[^a-z0-9]+")), "")
 
-    asked = words(query)
+def word_overlap(asked: Column, text: Column) -> Column:
+    """Offline stand-in for a reranking model: the share of the asked words that the text has."""
     shared = F.size(F.array_intersect(asked, words(text)))
     return F.coalesce(F.try_divide(shared.cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
@@ -157,12 +157,14 @@ def semantic_search(
         return found.withColumnRenamed("rank", "position")
     depth = rerank_count(limit, rerank_top)
     found = _with_listing(hits.where(F.col("rank") <= max(depth, limit)), listings)
-    found = found.join(queries.select("query_id", "text"), "query_id")
     in_slice = F.col("rank") <= depth
     if rerank_fn is None:
-        score = F.when(in_slice, token_overlap(F.col("text"), rerank_text()))
-        found = found.withColumn("rerank_score", score)
+        # The words of a query are taken once, not once per hit.
+        asked = queries.select("query_id", words(F.col("text")).alias("_asked"))
+        score = F.when(in_slice, word_overlap(F.col("_asked"), rerank_text()))
+        found = found.join(asked, "query_id").withColumn("rerank_score", score).drop("_asked")
     else:
-        pairs = found.where(in_slice).select("query_id", "id", "rank", "text", rerank_text().alias("passage"))
+        pairs = found.where(in_slice).select("query_id", "id", "rank", rerank_text().alias("passage"))
+        pairs = pairs.join(queries.select("query_id", "text"), "query_id")
         found = found.join(_model_scores(pairs, rerank_fn), ["query_id", "id"], "left")
-    return fuse(found, limit).drop("rank", "text")
+    return fuse(found, limit).drop("rank")

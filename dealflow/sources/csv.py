@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.functions.text import is_auction_url, strip_space
-from dealflow.operators.numbering import number_rows
+from dealflow.operators.numbering import ORIGIN, number_rows, with_origin
 from dealflow.operators.upsert import normalise_records
 from dealflow.schema import COLLECTOR_COLUMNS
 
@@ -18,6 +18,7 @@ from dealflow.schema import COLLECTOR_COLUMNS
 def map_columns(df: DataFrame) -> DataFrame:
     """Display-named columns to record columns; unknown ones go, missing ones read as empty text."""
     return df.select(
+        *[c for c in ORIGIN if c in df.columns],
         *[
             (F.col(f"`{shown}`") if shown in df.columns else F.lit("")).alias(name)
             for shown, name in COLLECTOR_COLUMNS.items()
@@ -32,11 +33,11 @@ def read_listing_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     Bytes that are not UTF-8 become the replacement character.
     """
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False, encoding="UTF-8")
-    return map_columns(raw)
+    return map_columns(with_origin(raw))
 
 
 def numbered_records(records: DataFrame) -> DataFrame:
-    """Normalised records with ``seq``, their 0-based position in the file; stored once for the later steps."""
+    """Normalised records with ``seq``, their 0-based position (by file name, then row); stored once for later steps."""
     return number_rows(normalise_records(records), "seq")
 
 
@@ -73,13 +74,12 @@ def read_url_rows(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     """
     if multi_line:
         content = F.make_valid_utf8(F.col("content").cast("string"))
-        texts = spark.read.format("binaryFile").load(path).select(content.alias("text"))
+        found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), content.alias("text"))
     else:
-        texts = spark.read.text(path).select(F.col("value").alias("text"))
+        found = with_origin(spark.read.text(path).withColumnRenamed("value", "text"))
 
-    def parse(parts):
-        for part in parts:
-            rows = [[cells] for text in part["text"] for cells in csv.reader(io.StringIO(text, newline=""))]
-            yield pd.DataFrame(rows, columns=["cells"])
+    @F.pandas_udf("array<array<string>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: list(csv.reader(io.StringIO(text, newline=""))))
 
-    return number_rows(texts.mapInPandas(parse, "cells array<string>"), "seq")
+    return number_rows(found.withColumn("cells", F.explode(parse("text"))).drop("text"), "seq")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dealflow.operators.numbering import number_rows
+from dealflow.operators.numbering import number_rows, with_origin
 from dealflow.operators.upsert import COLLECTOR_UPDATES, normalise_records, split_rejects, upsert
 from dealflow.schema import RECORD_COLUMNS
 from dealflow.sources.listings import ListingStore
@@ -18,11 +18,11 @@ RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_C
 def record_stream(
     spark: SparkSession, path: str, file_format: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
-    """Record files (JSON lines or Parquet) as they appear in a folder."""
+    """Record files (JSON lines or Parquet) as they appear in a folder; within a batch files count in name order."""
     reader = spark.readStream.schema(RECORD_SCHEMA).format(file_format)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    return with_origin(reader.load(path))
 
 
 def merge_batch(store: ListingStore, reject_path: str, records: DataFrame, batch_id: int) -> None:
