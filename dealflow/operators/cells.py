@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealflow.operators.knn import HIT_SCHEMA, BestRows, int_column, vectors_of
+from dealflow.operators.topk import top_per_group
+from dealflow.session import materialise
 
 PIVOTS = 256
 BLOCK_ROWS = 4096
@@ -58,12 +60,11 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     return corpus.mapInArrow(assign, schema)
 
 
-def within_reach(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, below: float | None):
-    """Rule: the cells that may hold a vector at cosine distance up to ``below`` (all when it is None)."""
+def within_reach(pivots: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Rule: the cells that may hold a vector at cosine distance up to ``far`` (one number per query)."""
     filled = np.isfinite(high)
-    radius = np.inf if below is None else np.sqrt(2.0 * below) + 1e-6
 
-    def reach(vectors: np.ndarray) -> np.ndarray:
+    def reach(vectors: np.ndarray, far: np.ndarray) -> np.ndarray:
         distance = gaps(vectors, pivots)
         nearest = distance.argmin(axis=1)
         # A vector of the cell lies between ``low`` and ``high`` from the pivot ...
@@ -73,7 +74,8 @@ def within_reach(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, below: f
         own = distance.min(axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             beyond = np.where(apart > 1e-9, (distance**2 - own**2) / (2.0 * apart), 0.0)
-        return filled[None, :] & (np.maximum(bound, beyond) <= radius)
+        radius = np.sqrt(2.0 * far) + 1e-6
+        return filled[None, :] & (np.maximum(bound, beyond) <= radius[:, None])
 
     return reach
 
@@ -81,7 +83,7 @@ def within_reach(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, below: f
 def nearest_cells(pivots: np.ndarray, probes: int):
     """Rule: the ``probes`` cells whose pivots are nearest."""
 
-    def reach(vectors: np.ndarray) -> np.ndarray:
+    def reach(vectors: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
         distance = gaps(vectors, pivots)
         chosen = np.zeros(distance.shape, bool)
         np.put_along_axis(chosen, np.argsort(distance, axis=1, kind="stable")[:, :probes], True, axis=1)
@@ -91,7 +93,7 @@ def nearest_cells(pivots: np.ndarray, probes: int):
 
 
 def spread_queries(queries: DataFrame, reach) -> DataFrame:
-    """One row per query and reachable cell."""
+    """One row per query and reachable cell. A query may carry ``far``, beyond which it wants no row."""
 
     def spread(batches):
         for batch in batches:
@@ -99,7 +101,11 @@ def spread_queries(queries: DataFrame, reach) -> DataFrame:
                 continue
             vectors = vectors_of(batch.column("embedding"))
             known = ~np.isnan(vectors).any(axis=1)
-            row, cell = np.nonzero(reach(vectors[known]))
+            far = np.full(batch.num_rows, np.inf)
+            if "far" in batch.schema.names:
+                given = batch.column("far").to_numpy(zero_copy_only=False).astype(np.float64)
+                far = np.where(np.isnan(given), np.inf, given)
+            row, cell = np.nonzero(reach(vectors[known], far[known]))
             taken = batch.take(pa.array(np.flatnonzero(known)[row]))
             yield pa.RecordBatch.from_arrays(
                 taken.columns + [pa.array(cell, pa.int32())], names=taken.schema.names + ["cell"]
@@ -156,7 +162,11 @@ def cell_hits(
 
 
 def bounded_hits(queries: DataFrame, corpus: DataFrame, k: int, below: float | None) -> DataFrame:
-    """Exact hits for any number of queries: cells are skipped only when no row in them can qualify."""
+    """Exact hits for any number of queries: cells are skipped only when no row in them can qualify.
+
+    Without ``below``, a first look into each query's own cell finds ``k`` rows there, and no row farther than the
+    last of them can be among the nearest.
+    """
     pivots = sample_pivots(corpus)
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
@@ -166,8 +176,18 @@ def bounded_hits(queries: DataFrame, corpus: DataFrame, k: int, below: float | N
         .agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
         .collect()
     )
+    sizes = {r["cell"]: r["n"] for r in stats}
     low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for row in stats:
         low[row["cell"]], high[row["cell"]] = row["low"], row["high"]
-    spread = spread_queries(queries, within_reach(pivots, low, high, below))
-    return cell_hits(spread, placed, len(pivots), {r["cell"]: r["n"] for r in stats}, k, below)
+
+    if below is None:
+        own = spread_queries(queries, nearest_cells(pivots, 1))
+        first = cell_hits(own, placed, len(pivots), sizes, k, None)
+        best = top_per_group(first, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
+        last = best.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))
+        queries = materialise(queries.join(last, "query_id", "left"), "bounded-queries")
+    else:
+        queries = queries.withColumn("far", F.lit(float(below)))
+    spread = spread_queries(queries, within_reach(pivots, low, high))
+    return cell_hits(spread, placed, len(pivots), sizes, k, below)

@@ -17,7 +17,7 @@ from dealflow.operators.cells import (
     nearest_cells,
     spread_queries,
 )
-from dealflow.operators.knn import usable_vectors
+from dealflow.operators.knn import collect_queries, scan_hits, usable_vectors
 from dealflow.operators.topk import top_per_group
 
 LISTS = 100
@@ -69,7 +69,14 @@ def ivf_nearest(
 ) -> DataFrame:
     """The nearest rows within the ``probes`` nearest cells of every query: ``query_id, id, distance, rank``."""
     queries = usable_vectors(queries, "query_id").drop("seq")
-    spread = spread_queries(queries, nearest_cells(index.centroids, probes))
+    rule = nearest_cells(index.centroids, probes)
     placed = spark.read.parquet(index.path)
-    hits = cell_hits(spread, placed, len(index.centroids), index.sizes, k, below)
+    collected = collect_queries(queries)
+    if collected is not None:
+        # Few queries go to the rows: only the files of probed cells are read, and nothing of them is shuffled.
+        reach = rule(collected[1])
+        probed = [int(c) for c in np.flatnonzero(reach.any(axis=0))]
+        hits = scan_hits(collected, placed.where(F.col("cell").isin(probed)), k, below, reach)
+    else:
+        hits = cell_hits(spread_queries(queries, rule), placed, len(index.centroids), index.sizes, k, below)
     return top_per_group(hits, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)

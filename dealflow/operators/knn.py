@@ -122,17 +122,26 @@ def collect_queries(queries: DataFrame):
     return int_column(table, "query_id"), vectors_of(table.column("embedding")), seqs
 
 
-def scan_hits(collected, corpus: DataFrame, k: int, below: float | None) -> DataFrame:
-    """Each task's best rows per query, with the queries sent to the tasks."""
-    shared = corpus.sparkSession.sparkContext.broadcast(collected)
+def scan_hits(collected, corpus: DataFrame, k: int, below: float | None, reach: np.ndarray | None = None) -> DataFrame:
+    """Each task's best rows per query, with the queries sent to the tasks.
+
+    With ``reach`` (queries by cells), rows carry a ``cell`` and only meet the queries that reach it.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast((*collected, reach))
 
     def scan(batches):
-        query_ids, vectors, seqs = shared.value
+        query_ids, vectors, seqs, reach = shared.value
         best = BestRows(query_ids, vectors, seqs, k, below)
         for batch in batches:
-            if batch.num_rows:
-                arrival = None if seqs is None else int_column(batch, "seq")
-                best.add(int_column(batch, "id"), vectors_of(batch.column("embedding")), arrival)
+            if not batch.num_rows:
+                continue
+            ids, rows = int_column(batch, "id"), vectors_of(batch.column("embedding"))
+            if reach is None:
+                best.add(ids, rows, None if seqs is None else int_column(batch, "seq"))
+                continue
+            home = int_column(batch, "cell")
+            for cell in np.unique(home):
+                best.add(ids[home == cell], rows[home == cell], which=np.flatnonzero(reach[:, cell]))
         yield best.batch()
 
     return corpus.mapInArrow(scan, HIT_SCHEMA)

@@ -79,7 +79,7 @@ def test_cells_that_cannot_match_are_skipped(spark, clustered):
     low = np.array([gap[home == c, c].min(initial=np.inf) for c in range(len(pivots))])
     high = np.array([gap[home == c, c].max(initial=-np.inf) for c in range(len(pivots))])
     queries = clustered / np.linalg.norm(clustered, axis=1, keepdims=True)
-    reach = cells.within_reach(pivots, low, high, 0.02)(queries)
+    reach = cells.within_reach(pivots, low, high)(queries, np.full(len(queries), 0.02))
     assert reach.mean() < 0.4
     near = (1 - queries @ queries.T) <= 0.02
     rows, others = np.nonzero(near)
@@ -113,11 +113,16 @@ def test_sliced_top_k_is_the_same(spark):
     assert one == many and len(one) == 60
 
 
-def test_ivf_recall(spark, clustered, tmp_path):
+def test_ivf_recall(spark, clustered, tmp_path, monkeypatch):
     index = ivf.build_index(frame(spark, "id", clustered), str(tmp_path / "ivf"), lists=12)
     queries = frame(spark, "query_id", clustered[::6])
     some = found_ids(ivf.ivf_nearest(spark, index, queries, 5, probes=4))
     every = found_ids(ivf.ivf_nearest(spark, index, queries, 5, probes=12))
+    plan = plan_of(ivf.ivf_nearest(spark, index, queries.limit(1), 5, probes=2))
+    assert "PartitionFilters: [cell" in plan and "FlatMapCoGroups" not in plan
+    with monkeypatch.context() as patch:
+        patch.setattr(knn, "BROADCAST_FLOATS", 16 * 10)
+        assert found_ids(ivf.ivf_nearest(spark, index, queries, 5, probes=4)) == some
     exact = brute(clustered[::6], clustered, 5)
     assert every == exact
     hits = [len(set(some[q]) & set(exact[q])) / 5 for q in exact]
