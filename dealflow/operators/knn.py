@@ -54,13 +54,14 @@ class BestRows:
     def add(self, ids, vectors, seqs=None, which=None) -> None:
         """Compare rows with all queries, or with the queries at the positions ``which``."""
         positions = np.arange(len(self.query_ids)) if which is None else which
+        queries = self.vectors if which is None else self.vectors[which]
         step = max(1, BLOCK_FLOATS // max(1, len(positions)))
         for start in range(0, len(ids) if len(positions) else 0, step):
             part = slice(start, start + step)
-            self._add_block(positions, ids[part], vectors[part], None if seqs is None else seqs[part])
+            self._add_block(positions, queries, ids[part], vectors[part], None if seqs is None else seqs[part])
 
-    def _add_block(self, positions, ids, vectors, seqs) -> None:
-        distance = np.clip(1.0 - self.vectors[positions] @ vectors.T, 0.0, 2.0)
+    def _add_block(self, positions, queries, ids, vectors, seqs) -> None:
+        distance = np.clip(1.0 - queries @ vectors.T, 0.0, 2.0)
         distance[np.isnan(distance)] = np.inf
         if seqs is not None:
             distance[seqs[None, :] >= self.seqs[positions][:, None]] = np.inf

@@ -27,10 +27,9 @@ def passes_screen(mode: str = "non-software") -> Column:
         return F.lit(True)
     if mode == "software":
         return revenue >= LEAST_SOFTWARE_REVENUE
+    earnings = F.greatest(cash_flow, ebitda)
     return (
-        F.when(
-            (cash_flow > 0) | (ebitda > 0), (cash_flow >= LEAST_EARNINGS) | (ebitda >= LEAST_EARNINGS)
-        )
+        F.when(earnings > 0, earnings >= LEAST_EARNINGS)
         .when(revenue > 0, revenue >= LEAST_REVENUE)
         .when(price > 0, price >= LEAST_PRICE)
         .otherwise(False)
