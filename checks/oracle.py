@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks.tables import AS_OF, BATCH, DEALS, RAW_LISTINGS
 
 NAMES = {n: n for n in ("orders", "customer", "nation")}
-NOW = f"TIMESTAMP '{AS_OF}'"
+NOW = f"TIMESTAMP '{AS_OF.removesuffix('Z')}'"
 MONEY = ["price", "gross_revenue", "cash_flow", "ebitda"]
 RECORD = [
     "title", "city", "state", "country", "url", "industry", "source", "description", "listed_by_firm", "listed_by_name",

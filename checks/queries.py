@@ -228,7 +228,7 @@ def strip_html(spark, sf):
 
 @query
 def epoch_ms_date(spark, sf):
-    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    ms = F.unix_millis(tables.instant(F.col("ts"))).cast("string")
     kind = F.col("event_id") % 5
     value = F.when(kind == 0, "soon").when(kind == 1, "0").when(kind == 2, None).otherwise(ms)
     return tables.read(spark, sf, "events").select("event_id", text.epoch_ms_date(value).alias("day"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dealflow.functions.money import with_numeric_columns
 from dealflow.functions.text import url_hash
 
-AS_OF = "2001-08-01 00:00:00"
+AS_OF = "2001-08-01 00:00:00Z"
 
 
 def money_text(n: str, k: str) -> str:
@@ -96,9 +96,12 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def _timestamps(df: DataFrame) -> DataFrame:
-    """The driver's tables hold times without a zone; the listing table keeps instants."""
-    kinds = dict(df.dtypes)
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in kinds.items() if t == "timestamp_ntz"})
+    """The driver's tables hold times without a zone, taken as UTC; the listing table keeps instants."""
+    return df.withColumns({c: instant(F.col(c)) for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
+def instant(time):
+    return F.concat(time.cast("string"), F.lit("Z")).cast("timestamp")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

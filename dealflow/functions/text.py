@@ -148,8 +148,13 @@ def is_auction_url(url: Column) -> Column:
     return F.contains(url, F.lit("Business-Auction"))
 
 
+def format_utc(ts: Column, pattern: str) -> Column:
+    """The instant written in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), pattern)
+
+
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return format_utc(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.functions.text import moment
+from dealflow.functions.text import format_utc, moment
 from dealflow.operators.embed import EMBED_CHARS, RETRY_WAIT, EmbedFn, description_text, embed_column
 from dealflow.operators.upload import classify, duplicate_report, semantic_duplicates, upload_errors, upload_summary
 from dealflow.operators.upsert import added_ids, added_listings, as_listings
@@ -58,7 +58,7 @@ def upload(
     asked = done if check_skipped else inserted
     queries = asked.where(F.col("status") != "error").select(F.col("seq").alias("query_id"), "embedding", "seq")
     # Every row that is let in has a new URL, so they are added as they are, without touching the stored rows.
-    dated = inserted.drop("embedding").withColumn("scraping_date", F.date_format(now, "yyyy-MM-dd"))
+    dated = inserted.drop("embedding").withColumn("scraping_date", format_utc(now, "yyyy-MM-dd"))
     added = added_listings(listings, dated, now)
     after = listings.unionByName(added)
 
