@@ -17,8 +17,7 @@ from dealflow.operators.cells import (
     nearest_cells,
     spread_queries,
 )
-from dealflow.operators.knn import collect_queries, scan_hits, usable_vectors
-from dealflow.operators.topk import top_per_group
+from dealflow.operators.knn import best_hits, collect_queries, scan_hits, usable_vectors
 
 LISTS = 100
 # Vectors per cell that the centroids are fitted on; searches always read every vector of a probed cell.
@@ -79,4 +78,4 @@ def ivf_nearest(
         hits = scan_hits(collected, placed.where(F.col("cell").isin(probed)), k, below, reach)
     else:
         hits = cell_hits(spread_queries(queries, rule), placed, len(index.centroids), index.sizes, k, below)
-    return top_per_group(hits, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
+    return best_hits(hits, collected, k)

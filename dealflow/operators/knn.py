@@ -148,6 +148,14 @@ def scan_hits(collected, corpus: DataFrame, k: int, below: float | None, reach:
     return corpus.mapInArrow(scan, HIT_SCHEMA)
 
 
+def best_hits(hits: DataFrame, collected, k: int) -> DataFrame:
+    """The ``k`` nearest of all tasks' hits, marked for broadcast when there are provably few."""
+    best = top_per_group(hits, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
+    small = collected is not None and len(collected[0]) * k <= BROADCAST_HITS
+    # Looking up the hits' columns must not shuffle the table, and the planner cannot see how few hits there are.
+    return best.hint("broadcast") if small else best
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, below: float | None = None) -> DataFrame:
     """The ``k`` corpus rows nearest to every query, ties by id: ``query_id, id, distance, rank``.
 
@@ -164,7 +172,4 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, below: float | None =
         from dealflow.operators.cells import bounded_hits
 
         hits = bounded_hits(queries, corpus, k, below)
-    best = top_per_group(hits, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
-    small = collected is not None and len(collected[0]) * k <= BROADCAST_HITS
-    # Looking up the hits' columns must not shuffle the table, and the planner cannot see how few hits there are.
-    return best.hint("broadcast") if small else best
+    return best_hits(hits, collected, k)

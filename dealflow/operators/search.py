@@ -142,15 +142,20 @@ def semantic_search(
     rerank: bool = True,
     rerank_top: int = RERANK_TOP,
     rerank_fn: RerankFn | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest listings per query within ``threshold``, reranked and cut to ``limit``; ordered by ``position``.
 
     ``queries`` has ``query_id, embedding`` and, for reranking, ``text``. Every step after the vector search works on
-    at most 120 short rows per query.
+    at most 120 short rows per query. ``hits`` are candidates found otherwise, as by ``ivf.ivf_nearest``; an index knows
+    nothing of filters, so they exclude each other.
     """
     if not 1 <= limit <= 100 or not 0.0 <= threshold <= 1.0 or not 1 <= rerank_top <= 100:
         raise ValueError("limit and rerank_top must be 1..100 and threshold 0..1")
-    hits = candidate_ids(listings, queries, fetch_limit(limit), filters)
+    if hits is None:
+        hits = candidate_ids(listings, queries, fetch_limit(limit), filters)
+    elif filters != NO_FILTER:
+        raise ValueError("give either hits or filters")
     hits = hits.where(F.col("distance") <= threshold)
     if not rerank:
         found = _with_listing(hits.where(F.col("rank") <= limit), listings)

@@ -79,11 +79,13 @@ def upsert(
     as_of=None,
     updates: list[str] = COLLECTOR_UPDATES,
     reset_changed_embeddings: bool = False,
+    new_row_partitions: int = 0,
 ) -> DataFrame:
     """The listing table after the batch, applied in ``seq`` order.
 
     A known URL gets the batch's last values for ``updates`` and a new last-seen date; a new URL becomes a row.
-    Numbers are derived again for the touched rows only.
+    Numbers are derived again for the touched rows only. ``new_row_partitions`` hash-partitions the new rows by URL, to
+    match a bucketed table.
     """
     now = moment(as_of)
     listings = as_listings(listings)
@@ -102,9 +104,26 @@ def upsert(
     old = old.withColumns(kept).drop("last")
 
     fresh = new_rows(merged, listings).select("url", "seq", "first.*", "last.*")
+    if new_row_partitions:
+        fresh = fresh.repartition(new_row_partitions, "url")
     return as_listings(old).unionByName(added_listings(listings, fresh, now))
 
 
+def merge_into(table: str, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> None:
+    """The same merge on a table of a format with row-level changes, which rewrites the touched files only."""
+    merged = collapse(batch.where(has_url()), updates).select("url", "seq", "first.*", "last.*")
+    source = added_listings(batch.sparkSession.table(table), merged, as_of).alias("source")
+    changed = [*updates, *NUMERIC_COLUMNS, "last_seen_date"]
+    (
+        source.mergeInto(table, F.col("source.url") == F.col(f"{table}.url"))
+        .whenMatched()
+        .update({c: F.col(f"source.{c}") for c in changed})
+        .whenNotMatched()
+        .insertAll()
+        .merge()
+    )
+
+
 def added_ids(listings: DataFrame, rows: DataFrame) -> DataFrame:
     """Give new rows the id ``largest id + 1 + seq`` (ids may have gaps)."""
     largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()

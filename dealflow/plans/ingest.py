@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from dealflow.operators.upsert import COLLECTOR_UPDATES, normalise_records, split_rejects, upsert
+from dealflow.operators.upsert import normalise_records, split_rejects
 from dealflow.sources.csv import write_listing_csv
 from dealflow.sources.listings import ListingStore
 
@@ -16,7 +16,7 @@ def ingest(store: ListingStore, records: DataFrame, as_of=None, fallback_csv: st
     """
     accepted, _ = split_rejects(normalise_records(records))
     try:
-        return store.write(upsert(store.read(), accepted, as_of, COLLECTOR_UPDATES))
+        return store.merge(accepted, as_of)
     except Exception:
         if fallback_csv is not None:
             write_listing_csv(records, fallback_csv)

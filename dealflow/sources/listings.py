@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dealflow.operators.upsert import COLLECTOR_UPDATES, upsert
 from dealflow.schema import LISTING_SCHEMA
 
 # Order of the rows inside a file, so that a look-back window skips most row groups.
@@ -18,8 +19,8 @@ class ListingStore:
 
     A snapshot counts once its ``_SUCCESS`` marker is there, so a lost job leaves the previous one in force, and a
     write never touches the files being read. With ``buckets`` the rows lie in that many buckets by URL: merging a
-    batch too large to broadcast then shuffles the batch only. Where a table format with row-level changes is
-    configured, use that instead; ``operators.upsert`` is the same.
+    batch too large to broadcast then shuffles the batch only. Every merge writes a whole snapshot; where a table format
+    with row-level changes is configured, ``operators.upsert.merge_into`` rewrites the touched files only.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
@@ -66,15 +67,28 @@ class ListingStore:
             return self.spark.table(self._bucketed(version))
         return self.spark.read.schema(LISTING_SCHEMA).parquet(self._path(version))
 
-    def write(self, listings: DataFrame, version: int | None = None) -> int:
-        """Store a new snapshot and return its number; an unfinished one of that number is replaced."""
+    def write(self, listings: DataFrame, version: int | None = None, by_bucket: bool = False) -> int:
+        """Store a new snapshot and return its number; an unfinished one of that number is replaced.
+
+        ``by_bucket`` says that each task's rows already belong to one bucket or few; otherwise they are shuffled, so
+        that a bucket does not become one file per task.
+        """
         if version is None:
             version = (self.versions() or [0])[-1] + 1
         if self.complete(version):
             raise ValueError(f"snapshot {version} exists already")
         rows = listings.select(*LISTING_SCHEMA.fieldNames())
         if self.buckets:
+            rows = rows if by_bucket else rows.repartition(self.buckets, "url")
             rows.write.insertInto(self._bucketed(version), overwrite=True)
         else:
             rows.sortWithinPartitions(FILE_ORDER).write.mode("overwrite").parquet(self._path(version))
         return version
+
+    def merge(self, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> int:
+        """Upsert records into the newest snapshot and return the new one's number.
+
+        The stored rows keep their buckets, and only the new rows are shuffled into theirs.
+        """
+        merged = upsert(self.read(), batch, as_of, updates, new_row_partitions=self.buckets)
+        return self.write(merged, by_bucket=True)

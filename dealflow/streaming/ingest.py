@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dealflow.operators.numbering import number_rows, with_origin
-from dealflow.operators.upsert import COLLECTOR_UPDATES, normalise_records, split_rejects, upsert
+from dealflow.operators.upsert import normalise_records, split_rejects
 from dealflow.schema import RECORD_COLUMNS
 from dealflow.sources.listings import ListingStore
 
@@ -34,7 +33,7 @@ def merge_batch(store: ListingStore, reject_path: str, records: DataFrame, batch
     numbered = number_rows(normalise_records(records), "seq")
     accepted, rejected = split_rejects(numbered)
     rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-    store.write(upsert(store.read(), accepted, F.current_timestamp(), COLLECTOR_UPDATES))
+    store.merge(accepted)
 
 
 def start_ingest(

@@ -172,15 +172,26 @@ def test_bucketed_snapshots_are_merged_without_shuffling_them(spark, tmp_path):
     assert len(tables) >= 2
     again = ListingStore(spark, str(tmp_path / "store"), buckets=4).read()
     titles = {r["url"]: r["title"] for r in again.collect()}
+    files = [p.name for p in (tmp_path / "store" / "snapshot=2").glob("*.parquet")]
+    assert len(files) <= 8  # stored rows: one per bucket; new rows: one per bucket
     assert len(titles) == 60 and titles["u39"] == "a" and titles["u40"] == titles["u59"] == "b"
 
 
+def test_row_level_merge_is_left_to_the_table_format(spark, tmp_path):
+    """Parquet tables are turned down for their format only, after every column has been found."""
+    import pytest
+
+    listings(spark, {}).write.saveAsTable("merge_target", path=str(tmp_path / "t"))
+    with pytest.raises(Exception, match="UNSUPPORTED_FEATURE.TABLE_OPERATION"):
+        upsert.merge_into("merge_target", records(spark, {"url": NEW}), AS_OF)
+
+
 def test_failed_ingest_keeps_the_table_and_saves_the_records(spark, tmp_path, monkeypatch):
     import pytest
 
     store = ListingStore(spark, str(tmp_path / "store"))
     ingest(store, records(spark, {"url": ONE}), AS_OF)
-    monkeypatch.setattr(store, "write", lambda df: (_ for _ in ()).throw(RuntimeError("no space")))
+    monkeypatch.setattr(store, "write", lambda df, **more: (_ for _ in ()).throw(RuntimeError("no space")))
     with pytest.raises(RuntimeError):
         ingest(store, records(spark, {"url": NEW}), AS_OF, fallback_csv=str(tmp_path / "csv"))
     assert store.versions() == [1]

@@ -174,6 +174,17 @@ def test_semantic_search(spark):
     assert [r["id"] for r in cut] == [2]
 
 
+def test_index_candidates(spark, tmp_path):
+    df = searchable(spark)
+    corpus = df.select("id", F.col("description_embedding").alias("embedding"))
+    index = ivf.build_index(corpus, str(tmp_path / "ivf"), lists=2)
+    hits = ivf.ivf_nearest(spark, index, question(spark), search.fetch_limit(20), probes=2)
+    found = search.semantic_search(df, question(spark), hits=hits).orderBy("position").collect()
+    assert [r["id"] for r in found] == [3, 2, 1]
+    with pytest.raises(ValueError):
+        search.semantic_search(df, question(spark), hits=hits, filters=ListingFilter(state="CA"))
+
+
 def test_rerank_model(spark):
     def shortest(query, passages):
         return [1.0 / len(p) for p in passages]
