@@ -143,8 +143,9 @@ def each(columns, rule, table, key="id"):
 
 
 def unescape(c):
-    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        c = f"replace({c}, '{entity}', '{char}')"
+    """The references that occur in the pages; HTML lets them go without the semicolon (cut-off titles do)."""
+    for entity, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{entity};?', '{char}', 'g')"
     return c
 
 
