@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.functions.text import is_present
-from dealflow.schema import EMBEDDING
+from dealflow.functions.text import is_present, strip_space
+from dealflow.schema import EMBEDDING, NA
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
@@ -71,9 +71,10 @@ def embed_column(
 
 
 def description_text(column: str = "description", chars: int | None = EMBED_CHARS) -> Column:
-    """The text an uploaded description is embedded by; NULL for missing ones."""
-    text = F.when(is_present(F.col(column)), F.col(column))
-    return text if chars is None else F.substring(text, 1, chars)
+    """The text an uploaded description is embedded by; NULL for a blank or missing one."""
+    text = F.col(column) if chars is None else F.substring(F.col(column), 1, chars)
+    trimmed = strip_space(text)
+    return F.when((trimmed != "") & (F.col(column) != NA), trimmed)
 
 
 def embedding_backlog(listings: DataFrame, limit: int = 0) -> DataFrame:

@@ -43,11 +43,10 @@ def upload(
     now = moment(as_of)
     listings = as_listings(listings)
     outcomes = classify(batch, listings)
-    text = description_text(chars=None)
-    short = F.substring(text, 1, EMBED_CHARS)
-    vectors = outcomes.withColumn("description_embedding", embed_column(short, embed_fn, retry_wait=retry_wait))
+    short = embed_column(description_text(), embed_fn, retry_wait=retry_wait)
+    vectors = outcomes.withColumn("description_embedding", short)
     # The check reads the whole text, the stored vector only its beginning; they differ for long texts only.
-    longer = F.when(F.length(text) > EMBED_CHARS, text)
+    longer = F.when(F.length("description") > EMBED_CHARS, description_text(chars=None))
     vectors = vectors.withColumn(
         "embedding", F.coalesce(embed_column(longer, embed_fn, retry_wait=retry_wait), "description_embedding")
     )

@@ -49,7 +49,15 @@ def write_listing_csv(records: DataFrame, path: str) -> None:
             for title, name in COLLECTOR_COLUMNS.items()
         ]
     )
-    shown.write.csv(path, header=True, escape='"', emptyValue="", encoding="UTF-8")
+    shown.write.csv(
+        path,
+        header=True,
+        escape='"',
+        emptyValue="",
+        encoding="UTF-8",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def first_url(cells: Column, domain: str) -> Column:

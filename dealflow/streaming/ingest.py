@@ -18,7 +18,11 @@ def record_stream(
     spark: SparkSession, path: str, file_format: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
     """Record files (JSON lines or Parquet) as they appear in a folder; within a batch files count in name order."""
-    reader = spark.readStream.schema(RECORD_SCHEMA).format(file_format)
+    schema = RECORD_SCHEMA
+    if file_format == "json":
+        # A line that is no JSON has no URL either, and goes to the rejects as it came.
+        schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    reader = spark.readStream.schema(schema).format(file_format)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return with_origin(reader.load(path))

@@ -60,6 +60,8 @@ def test_item_files(spark, tmp_path):
 def test_csv_round_trip(spark, tmp_path):
     rows = records(spark, {"title": 'He said "hi"', "url": "https://e.com/1", "description": "two\nlines, one cell"}, {"title": None, "email": ""})
     files.write_listing_csv(rows, str(tmp_path / "out"))
+    files.write_listing_csv(records(spark, {"title": " kept "}), str(tmp_path / "blanks"))
+    assert files.read_listing_csv(spark, str(tmp_path / "blanks")).first()["title"] == " kept "
     back = files.read_listing_csv(spark, str(tmp_path / "out")).collect()
     assert {r["description"] for r in back} == {"two\nlines, one cell", "N/A"}
     assert 'He said "hi"' in {r["title"] for r in back}

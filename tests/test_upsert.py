@@ -211,6 +211,10 @@ def test_stream(spark, tmp_path):
     rows = {r["url"]: r.asDict() for r in store.read().collect()}
     assert set(rows) == {ONE, NEW} and (rows[ONE]["title"], rows[ONE]["state"]) == ("b", "NV")
     assert [r["title"] for r in spark.read.parquet(rejects).collect()] == ["lost"]
+    (tmp_path / "in" / "part-zz.json").write_text('{"url": "https://example.com/ok"}\nnot json\n')
+    start_ingest(record_stream(spark, files), store, rejects, progress).awaitTermination()
+    kept = spark.read.option("mergeSchema", True).parquet(rejects).where("_corrupt_record is not null")
+    assert [r["_corrupt_record"] for r in kept.collect()] == ["not json"] and store.read().count() == 3
     before = {(r["id"], r["url"]) for r in store.read().collect()}
     merge_batch(store, rejects, records(spark, {"url": NEW}).drop("seq"), 1)
     assert {(r["id"], r["url"]) for r in store.read().collect()} == before
