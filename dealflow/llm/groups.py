@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealflow.llm import bloom
 from dealflow.session import materialise
 
 BITS = 64
@@ -51,16 +52,17 @@ def close_links(fps: DataFrame, column: str, distance: int, same: int = SAME, ho
     heads = materialise(heads, "blocks")
     longest = distance + same + 2 > 12
     usual = heads if longest else heads.where(F.col("n") <= hot)
-    met = keyed.join(usual.drop("n"), "block").withColumn("near", bits_apart(F.col("fp"), F.col("head")) <= distance)
+    some = bloom.screen(keyed, "block", heads, "block")
+    met = some.join(usual.drop("n"), "block").withColumn("near", bits_apart(F.col("fp"), F.col("head")) <= distance)
+    met = materialise(met, "met")
     stars = met.where("near AND fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     left = met.where("NOT near").select("block", F.col("fp").alias("a"))
-    other = keyed.select(F.col("block").alias("block_b"), F.col("fp").alias("b"))
-    rest = left.join(
-        other, (F.col("block") == F.col("block_b")) & (F.col("a") != F.col("b")) & (bits_apart(F.col("a"), F.col("b")) <= distance)
-    ).select("a", "b")
+    other = met.select(F.col("block").alias("block_b"), F.col("fp").alias("b"))
+    close = bits_apart(F.col("a"), F.col("b")) <= distance
+    rest = left.join(other, (F.col("block") == F.col("block_b")) & (F.col("a") != F.col("b")) & close).select("a", "b")
     links = stars.unionByName(rest)
     if not longest and not heads.where(F.col("n") > hot).isEmpty():
-        crowded = keyed.join(heads.where(F.col("n") > hot).select("block"), "block", "left_semi").select("fp").distinct()
+        crowded = some.join(heads.where(F.col("n") > hot).select("block"), "block", "left_semi").select("fp").distinct()
         links = links.unionByName(close_links(materialise(crowded, "crowded"), "fp", distance, same + 2, hot))
     return links
 

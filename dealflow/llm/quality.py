@@ -108,16 +108,17 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < LEAST_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MOST_REPEATED)
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[Rule]:
-    """The rules ordered by rejections per second, both taken from a sample of ``measured(_text, _m)``.
+def order_rules(texts: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[Rule]:
+    """The rules ordered by rejections per second, both taken from a sample of ``texts(_text)``.
 
     The sample has about ``sample`` rows whatever the table's size. The measures are taken before the clock starts,
     so a rule's cost is what it adds to a pass over the sample.
     """
-    rows = measured.count()
+    rows = texts.count()
     if not rows:
         return list(rules)
-    part = measured if rows <= sample else measured.sample(fraction=sample / rows, seed=SEED)
+    part = texts if rows <= sample else texts.sample(fraction=sample / rows, seed=SEED)
+    part = part.withColumn("_m", measures(F.col("_text")))
     part = materialise(part.where(~base_failed(F.col("_m"))), "rule-sample")
 
     def timed(rejects: Column) -> tuple[float, int]:
@@ -150,8 +151,8 @@ def judge(docs: DataFrame, keep: list[str], rules: list[Rule] | None = None) ->
     gave, ``kept`` does not. A null or empty text has no word and fails; every row is judged by itself.
     """
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    ordered = order_rules(rows.select("_text"), RULES if rules is None else rules)
     rows = rows.withColumn("_m", measures(F.col("_text")))
-    ordered = order_rules(rows.select("_text", "_m"), RULES if rules is None else rules)
     judged = rows.withColumn("_by", cascade(ordered, F.col("_text"), F.col("_m")))
     return judged.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealflow.llm import bloom
 from dealflow.session import materialise
 
-BLOCK_BITS = 512  # eight longs: one cache line
-PROBES = 6
-BITS_PER_URL = 12
-MOST_BLOCKS = 1 << 19  # 32 MB of filter at most; a longer list passes more URLs on to the exact join
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = "://([^/?#]*)([^?#]*)"
 
@@ -56,39 +52,6 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.lit(None).cast("struct<rule: string, verdict: string>") if found is None else found
 
 
-def _block(url: Column, count: int) -> Column:
-    return F.pmod(F.xxhash64(url, F.lit("block")), F.lit(count))
-
-
-def _bits(url: Column) -> Column:
-    """The places of the URL's ``PROBES`` bits within its block; nine bits of hash choose each."""
-    code = F.xxhash64(url, F.lit("bits"))
-    return F.array(*[F.shiftrightunsigned(code, 9 * k).bitwiseAND(BLOCK_BITS - 1).cast("int") for k in range(PROBES)])
-
-
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63))
-
-
-def bloom_filter(urls: DataFrame, column: str, count: int) -> DataFrame:
-    """A blocked Bloom filter of ``count`` blocks over the URLs: ``block`` and its eight words ``bits``.
-
-    The bits of a URL all lie in one block. Blocks are or-ed together by a shuffle; blocks without a URL are left out.
-    """
-    some = urls.select(F.col(column).alias("url"))
-    places = some.select(_block(F.col("url"), count).alias("block"), F.explode(_bits(F.col("url"))).alias("place"))
-    words = [
-        F.bit_or(F.when(F.shiftright("place", 6) == n, _bit(F.col("place"))).otherwise(F.lit(0).cast("long")))
-        for n in range(BLOCK_BITS // 64)
-    ]
-    return places.groupBy("block").agg(F.array(*words).alias("bits"))
-
-
-def block_count(urls: DataFrame) -> int:
-    """Blocks for a list: ``BITS_PER_URL`` for each row, up to ``MOST_BLOCKS``, so that tasks may hold all of them."""
-    return max(1, min(MOST_BLOCKS, math.ceil(urls.count() * BITS_PER_URL / BLOCK_BITS)))
-
-
 def listed(urls: DataFrame, column: str, listing: DataFrame) -> DataFrame:
     """Add ``listed``: whether the URL in ``column`` is one of ``listing(url)``.
 
@@ -96,14 +59,7 @@ def listed(urls: DataFrame, column: str, listing: DataFrame) -> DataFrame:
     join with the distinct listed URLs, which removes the false ones. A null is not listed.
     """
     distinct = materialise(listing.select(F.col("url").alias("_url")).where("_url IS NOT NULL").distinct(), "listed")
-    count = block_count(distinct)
-    bloom = bloom_filter(distinct, "_url", count)
-    own = _block(F.col(column), count)
-    known = F.forall(_bits(F.col(column)), lambda p: F.col("_bits")[F.shiftright(p, 6)].bitwiseAND(_bit(p)) != 0)
-    # At most 2^19 blocks of 64 bytes.
-    blocks = F.broadcast(bloom.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
-    tested = urls.join(blocks, own == F.col("_block"), "left")
-    tested = tested.withColumn("_maybe", F.coalesce(known, F.lit(False))).drop("_block", "_bits")
+    tested = bloom.test(urls, column, distinct, "_url")
     hits = tested.where("_maybe").join(distinct.withColumn("listed", F.lit(True)).hint("shuffle_hash"), F.col(column) == F.col("_url"), "left")
     hits = hits.withColumn("listed", F.coalesce("listed", F.lit(False))).drop("_url")
     return hits.unionByName(tested.where("NOT _maybe").withColumn("listed", F.lit(False))).drop("_maybe")
