@@ -42,9 +42,10 @@ def known_urls(listings: DataFrame, batch: DataFrame) -> DataFrame:
     """Those URLs of the batch that are stored already.
 
     The table is the streamed side and only its URL column is read, so with a batch that Spark may broadcast the
-    table is not shuffled; a larger batch becomes a sort-merge join.
+    table is not shuffled; a larger batch becomes a sort-merge join. The batch's URLs are made distinct before, so one
+    that fills much of it is a single row.
     """
-    return listings.select("url").join(batch.select("url"), "url", "left_semi")
+    return listings.select("url").join(batch.where(has_url()).select("url").distinct(), "url", "left_semi")
 
 
 def existing_rows(batch: DataFrame, listings: DataFrame) -> DataFrame:
@@ -79,49 +80,38 @@ def upsert(
     as_of=None,
     updates: list[str] = COLLECTOR_UPDATES,
     reset_changed_embeddings: bool = False,
-    new_row_partitions: int = 0,
 ) -> DataFrame:
     """The listing table after the batch, applied in ``seq`` order.
 
     A known URL gets the batch's last values for ``updates`` and a new last-seen date; a new URL becomes a row.
-    Numbers are derived again for the touched rows only. ``new_row_partitions`` hash-partitions the new rows by URL, to
-    match a bucketed table.
+    Numbers are derived again for the touched rows only. Table and batch, reduced to one row per URL, meet in one full
+    join, so each is computed once; a table bucketed by URL is not shuffled and its rows stay in their buckets.
     """
     now = moment(as_of)
     listings = as_listings(listings)
+    largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     merged = collapse(batch.where(has_url()), updates)
+    merged = merged.select(F.col("url").alias("_url"), F.col("seq").alias("_seq"), "first", "last")
+    stored = listings.withColumn("_stored", F.lit(True))
+    met = stored.join(merged, F.col("url") == F.col("_url"), "full_outer")
 
-    changes = merged.select("url", "last")
-    old = listings.join(changes, "url", "left")
-    touched = F.col("last").isNotNull()
-    kept = {c: F.when(touched, F.col(f"last.{c}")).otherwise(F.col(c)) for c in updates}
-    kept["last_seen_date"] = F.when(touched, now).otherwise(F.col("last_seen_date"))
+    touched, fresh = F.col("_url").isNotNull(), F.col("_stored").isNull()
+    values = {c: F.when(fresh, F.col(f"first.{c}")).otherwise(F.col(c)) for c in batch.columns if c in listings.columns}
+    values |= {c: F.when(touched, F.col(f"last.{c}")).otherwise(F.col(c)) for c in updates}
     for num, text in NUMERIC_COLUMNS.items():
-        kept[num] = F.when(touched, money_numeric(F.col(f"last.{text}"))).otherwise(F.col(num))
+        values[num] = F.when(touched, money_numeric(F.col(f"last.{text}"))).otherwise(F.col(num))
     if reset_changed_embeddings and "description_embedding" not in updates:
-        changed = touched & ~F.col("last.description").eqNullSafe(F.col("description"))
-        kept["description_embedding"] = F.when(~changed, F.col("description_embedding"))
-    old = old.withColumns(kept).drop("last")
-
-    fresh = new_rows(merged, listings).select("url", "seq", "first.*", "last.*")
-    if new_row_partitions:
-        fresh = fresh.repartition(new_row_partitions, "url")
-    return as_listings(old).unionByName(added_listings(listings, fresh, now))
-
-
-def merge_into(table: str, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> None:
-    """The same merge on a table of a format with row-level changes, which rewrites the touched files only."""
-    merged = collapse(batch.where(has_url()), updates).select("url", "seq", "first.*", "last.*")
-    source = added_listings(batch.sparkSession.table(table), merged, as_of).alias("source")
-    changed = [*updates, *NUMERIC_COLUMNS, "last_seen_date"]
-    (
-        source.mergeInto(table, F.col("source.url") == F.col(f"{table}.url"))
-        .whenMatched()
-        .update({c: F.col(f"source.{c}") for c in changed})
-        .whenNotMatched()
-        .insertAll()
-        .merge()
-    )
+        changed = touched & ~fresh & ~F.col("last.description").eqNullSafe(F.col("description"))
+        kept = values.get("description_embedding", F.col("description_embedding"))
+        values["description_embedding"] = F.when(~changed, kept)
+    values |= {
+        "id": F.coalesce("id", largest + 1 + F.col("_seq")),
+        "url": F.coalesce("url", "_url"),
+        "listing_hash": F.when(fresh, url_hash(F.col("_url"))).otherwise(F.col("listing_hash")),
+        "first_seen_date": F.when(fresh, now).otherwise(F.col("first_seen_date")),
+        "last_seen_date": F.when(touched, now).otherwise(F.col("last_seen_date")),
+    }
+    return as_listings(met.select(*[values.get(c, F.col(c)).alias(c) for c in listings.columns]))
 
 
 def added_ids(listings: DataFrame, rows: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ class ListingStore:
     """Snapshots ``snapshot=N`` of the listing table.
 
     A snapshot counts once its ``_SUCCESS`` marker is there, so a lost job leaves the previous one in force, and a
-    write never touches the files being read. With ``buckets`` the rows lie in that many buckets by URL: merging a
-    batch too large to broadcast then shuffles the batch only. Every merge writes a whole snapshot; where a table format
-    with row-level changes is configured, ``operators.upsert.merge_into`` rewrites the touched files only.
+    write never touches the files being read. With ``buckets`` the rows lie in that many buckets by URL, one file each:
+    a merge then shuffles the batch only. Every merge writes a whole snapshot. Of two writers the first to claim the next
+    number goes on; the other fails and may merge again into what the first has written.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
@@ -46,9 +46,12 @@ class ListingStore:
         fs, marker = self._files(f"{self._path(version)}/_SUCCESS")
         return fs.exists(marker)
 
+    def _name(self, version: int) -> str:
+        return f"listing_snapshot_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{version}"
+
     def _bucketed(self, version: int) -> str:
         """Name of the session's table over a bucketed snapshot."""
-        name = f"listing_snapshot_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{version}"
+        name = self._name(version)
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING_SCHEMA)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -56,6 +59,30 @@ class ListingStore:
         )
         return name
 
+    def claim(self, version: int) -> None:
+        """Reserve a snapshot number by creating its marker, which only one writer can; see ``release``."""
+        fs, marker = self._files(f"{self.root}/_claims/{version}")
+        fs.mkdirs(marker.getParent())
+        if not fs.createNewFile(marker):
+            raise ValueError(f"snapshot {version} is being written")
+
+    def release(self, version: int) -> None:
+        """Give up a claimed number, as after a lost writer."""
+        fs, marker = self._files(f"{self.root}/_claims/{version}")
+        fs.delete(marker, False)
+
+    def prune(self, keep: int = 2) -> list[int]:
+        """Remove all but the newest ``keep`` snapshots and return the numbers removed. Nothing must be reading them."""
+        if keep < 1:
+            raise ValueError("the newest snapshot stays")
+        old = self.versions()[:-keep]
+        for version in old:
+            if self.buckets:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._name(version)}")
+            fs, path = self._files(self._path(version))
+            fs.delete(path, True)
+        return old
+
     def read(self, version: int | None = None) -> DataFrame:
         """The given snapshot, else the newest; an empty table when there is none."""
         if version is None:
@@ -77,18 +104,22 @@ class ListingStore:
             version = (self.versions() or [0])[-1] + 1
         if self.complete(version):
             raise ValueError(f"snapshot {version} exists already")
-        rows = listings.select(*LISTING_SCHEMA.fieldNames())
-        if self.buckets:
-            rows = rows if by_bucket else rows.repartition(self.buckets, "url")
-            rows.write.insertInto(self._bucketed(version), overwrite=True)
-        else:
-            rows.sortWithinPartitions(FILE_ORDER).write.mode("overwrite").parquet(self._path(version))
+        self.claim(version)
+        try:
+            rows = listings.select(*LISTING_SCHEMA.fieldNames())
+            if self.buckets:
+                rows = rows if by_bucket else rows.repartition(self.buckets, "url")
+                rows.write.insertInto(self._bucketed(version), overwrite=True)
+            else:
+                rows.sortWithinPartitions(FILE_ORDER).write.mode("overwrite").parquet(self._path(version))
+        finally:
+            self.release(version)
         return version
 
     def merge(self, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> int:
         """Upsert records into the newest snapshot and return the new one's number.
 
-        The stored rows keep their buckets, and only the new rows are shuffled into theirs.
+        The next number is taken before the snapshot is read, so a merge that another one has overtaken fails.
         """
-        merged = upsert(self.read(), batch, as_of, updates, new_row_partitions=self.buckets)
-        return self.write(merged, by_bucket=True)
+        version = (self.versions() or [0])[-1] + 1
+        return self.write(upsert(self.read(), batch, as_of, updates), version, by_bucket=bool(self.versions()))

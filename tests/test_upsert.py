@@ -177,13 +177,54 @@ def test_bucketed_snapshots_are_merged_without_shuffling_them(spark, tmp_path):
     assert len(titles) == 60 and titles["u39"] == "a" and titles["u40"] == titles["u59"] == "b"
 
 
-def test_row_level_merge_is_left_to_the_table_format(spark, tmp_path):
-    """Parquet tables are turned down for their format only, after every column has been found."""
+def test_row_numbers_with_many_files_per_task(spark, tmp_path):
+    from dealflow.operators.numbering import with_origin
+
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        ordered = spark.range(40).select((F.col("id") * 7 % 40).alias("v")).orderBy("v")
+        assert [r["v"] for r in number_rows(ordered, "n").orderBy("n").collect()] == list(range(40))
+        assert sorted(r["n"] for r in number_rows(ordered, "n").collect()) == list(range(40))
+        for k in range(5):
+            (tmp_path / f"{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(8)))
+        lines = with_origin(spark.read.text(str(tmp_path)))
+        found = [r["value"] for r in number_rows(lines, "n").orderBy("n").collect()]
+        assert found == [f"{k}-{i}" for k in range(5) for i in range(8)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_buckets_stay_one_file_each(spark, tmp_path):
+    store = ListingStore(spark, str(tmp_path / "store"), buckets=4)
+    for n in range(6):
+        batch = records(spark, *[{"url": f"u{i}", "title": f"t{n}"} for i in range(10 * n, 10 * n + 30)])
+        version = store.merge(batch, AS_OF)
+        files = list((tmp_path / "store" / f"snapshot={version}").glob("*.parquet"))
+        assert len(files) == 4
+    titles = {r["url"]: r["title"] for r in store.read().collect()}
+    assert len(titles) == 80 and titles["u5"] == "t0" and titles["u25"] == "t2" and titles["u79"] == "t5"
+    assert store.prune(keep=2) == [1, 2, 3, 4] and store.versions() == [5, 6]
+    assert store.read().count() == 80 and not (tmp_path / "store" / "snapshot=1").exists()
+
+
+def test_a_second_writer_of_a_snapshot_fails(spark, tmp_path):
     import pytest
 
-    listings(spark, {}).write.saveAsTable("merge_target", path=str(tmp_path / "t"))
-    with pytest.raises(Exception, match="UNSUPPORTED_FEATURE.TABLE_OPERATION"):
-        upsert.merge_into("merge_target", records(spark, {"url": NEW}), AS_OF)
+    store = ListingStore(spark, str(tmp_path / "store"))
+    assert store.merge(records(spark, {"url": ONE}), AS_OF) == 1
+    store.claim(2)
+    with pytest.raises(ValueError, match="being written"):
+        store.merge(records(spark, {"url": NEW}), AS_OF)
+    store.release(2)
+    assert store.merge(records(spark, {"url": NEW}), AS_OF) == 2 and store.read().count() == 2
+
+
+def test_merge_reads_each_side_once(spark, tmp_path):
+    listings(spark, {}, {}).write.parquet(str(tmp_path / "t"))
+    records(spark, {"url": ONE}).write.parquet(str(tmp_path / "b"))
+    table, batch = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "b"))
+    plan = plan_of(upsert.upsert(table, batch, AS_OF))
+    assert plan.count("FileScan") == 2
 
 
 def test_failed_ingest_keeps_the_table_and_saves_the_records(spark, tmp_path, monkeypatch):
