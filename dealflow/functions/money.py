@@ -33,9 +33,8 @@ def money_float(value: Column) -> Column:
 
 
 def money_loose(value: Column) -> Column:
-    """Digits and points only (sign and suffix are lost), 0.0 when that is not a number."""
-    digits = F.regexp_replace(value, "[^0-9.]", "")
-    return F.coalesce(F.when(value != "N/A", digits.try_cast("double")), F.lit(0.0))
+    """Digits and points only (sign and suffix are lost), 0.0 when that is not a number, as for ``N/A``."""
+    return F.coalesce(F.regexp_replace(value, "[^0-9.]", "").try_cast("double"), F.lit(0.0))
 
 
 def with_numeric_columns(df: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ BLOCK_PHRASES = [
 ]
 BLOCK_TITLES = ["access denied", "attention required"]
 LISTING_PHRASES = ["asking price", "business description"]
-BLOCK_SCAN_CHARS = 12000
 
 
 def strip_space(value: Column) -> Column:
@@ -129,10 +128,10 @@ def page_title(html_text: Column) -> Column:
     return F.regexp_extract(html_text, r"(?is)<title[^>]*>(.*?)</title", 1)
 
 
-def is_block_page(html_text: Column) -> Column:
-    """A bot-check page by its title, or by its opening characters when no listing phrase is among them."""
+def is_block_page(html_text: Column, chars: int | None = None) -> Column:
+    """A bot-check page by its title, or by a phrase when no listing phrase is on the page (or its first ``chars``)."""
     title = F.lower(page_title(html_text))
-    head = F.substring(F.lower(html_text), 1, BLOCK_SCAN_CHARS)
+    head = F.lower(html_text) if chars is None else F.substring(F.lower(html_text), 1, chars)
 
     def any_of(text: Column, phrases: list[str]) -> Column:
         hit = F.lit(False)

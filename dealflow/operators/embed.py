@@ -17,7 +17,6 @@ from dealflow.schema import EMBEDDING, NA
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
-EMBED_CHARS = 8000
 BATCH_ROWS = 25
 RETRY_WAIT = 10.0
 DIMENSIONS = 1024
@@ -70,8 +69,8 @@ def embed_column(
     return run(text)
 
 
-def description_text(column: str = "description", chars: int | None = EMBED_CHARS) -> Column:
-    """The text an uploaded description is embedded by; NULL for a blank or missing one."""
+def description_text(column: str = "description", chars: int | None = None) -> Column:
+    """The text an uploaded description is embedded by, cut to ``chars`` if given; NULL for a blank or missing one."""
     text = F.col(column) if chars is None else F.substring(F.col(column), 1, chars)
     trimmed = strip_space(text)
     return F.when((trimmed != "") & (F.col(column) != NA), trimmed)
@@ -91,11 +90,12 @@ def embedding_backfill(
     retry_wait: float = RETRY_WAIT,
     delay: float = 0.0,
     skip_na: bool = False,
+    chars: int | None = None,
 ) -> DataFrame:
     """The table with missing embeddings filled in.
 
     A full run is one narrow pass over the table: no join, no shuffle, and only waiting texts reach Python. With
-    ``limit`` the chosen ids are looked up first.
+    ``limit`` the chosen ids are looked up first. ``chars`` cuts the texts for models that take no longer ones.
     """
     waiting = F.col("description_embedding").isNull()
     if limit > 0:
@@ -104,6 +104,7 @@ def embedding_backfill(
         waiting = waiting & F.col("_chosen")
     if skip_na:
         waiting = waiting & is_present(F.col("description"))
-    text = F.substring(F.coalesce("description", F.lit("")), 1, EMBED_CHARS)
+    text = F.coalesce("description", F.lit(""))
+    text = text if chars is None else F.substring(text, 1, chars)
     vector = embed_column(F.when(waiting, text), embed_fn, batch_rows, retry_wait, delay)
     return listings.withColumn("description_embedding", F.coalesce("description_embedding", vector)).drop("_chosen")

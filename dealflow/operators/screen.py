@@ -20,17 +20,21 @@ def passes_screen(mode: str = "non-software") -> Column:
     """Cash flow or EBITDA decides when known, else revenue, else price; software looks at revenue alone."""
     if mode not in SCREEN_MODES:
         raise ValueError(f"mode must be one of {', '.join(SCREEN_MODES)}")
-    cash_flow, ebitda, revenue, price = (
-        money_loose(F.col(c)) for c in ("cash_flow", "ebitda", "gross_revenue", "price")
-    )
     if mode == "all":
         return F.lit(True)
     if mode == "software":
-        return revenue >= LEAST_SOFTWARE_REVENUE
-    earnings = F.greatest(cash_flow, ebitda)
-    return (
-        F.when(earnings > 0, earnings >= LEAST_EARNINGS)
-        .when(revenue > 0, revenue >= LEAST_REVENUE)
-        .when(price > 0, price >= LEAST_PRICE)
-        .otherwise(False)
-    )
+        return money_loose(F.col("gross_revenue")) >= LEAST_SOFTWARE_REVENUE
+
+    def decide(amounts: Column) -> Column:
+        earnings, revenue, price = (amounts[i] for i in range(3))
+        return (
+            F.when(earnings > 0, earnings >= LEAST_EARNINGS)
+            .when(revenue > 0, revenue >= LEAST_REVENUE)
+            .when(price > 0, price >= LEAST_PRICE)
+            .otherwise(False)
+        )
+
+    earnings = F.greatest(money_loose(F.col("cash_flow")), money_loose(F.col("ebitda")))
+    amounts = F.array(earnings, money_loose(F.col("gross_revenue")), money_loose(F.col("price")))
+    # Inside the lambda the amounts are values already, so a text is parsed once however the filter is planned.
+    return F.transform(F.array(amounts), decide)[0]

@@ -12,13 +12,15 @@ from dealflow.schema import RECORD_COLUMNS
 
 DUPLICATE_DISTANCE = 0.15
 SIMILAR_SHOWN = 5
-ERRORS_SHOWN = 20
-REPORT_SHOWN = 20
 
-# What an entered deal holds where the form leaves a field out.
+# What an entered deal holds where the form leaves a field out, and the answers' wording.
 FORM_DEFAULTS = {"source": "Manual", "country": "US"}
 
 
+SUMMARY = "Processed CSV: %d inserted, %d skipped (duplicates), %d errors."
+NO_URL = "Missing URL"
+
+
 def classify(batch: DataFrame, listings: DataFrame) -> DataFrame:
     """Add ``status``: ``error`` without URL, ``inserted`` for the first row of a new URL, else ``skipped``.
 
@@ -45,16 +47,15 @@ def upload_summary(outcomes: DataFrame) -> DataFrame:
         "inserted",
         F.col("skipped").alias("skipped_duplicates"),
         F.col("error").alias("error_count"),
-        F.format_string(
-            "Processed CSV: %d inserted, %d skipped (duplicates), %d errors.", "inserted", "skipped", "error"
-        ).alias("message"),
+        F.format_string(SUMMARY, "inserted", "skipped", "error").alias("message"),
     )
 
 
-def upload_errors(outcomes: DataFrame, limit: int = ERRORS_SHOWN) -> DataFrame:
-    """The first rows that could not be stored (file rows count from 2, the header being row 1)."""
+def upload_errors(outcomes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows that could not be stored (file rows count from 2, the header being row 1), or the first ``limit``."""
     failed = outcomes.where(F.col("status") == "error")
-    return failed.select((F.col("seq") + 2).alias("row"), F.lit("Missing URL").alias("error")).orderBy("row").limit(limit)
+    found = failed.select((F.col("seq") + 2).alias("row"), F.lit(NO_URL).alias("error"))
+    return found if limit is None else found.orderBy("row").limit(limit)
 
 
 def form_records(deals: DataFrame) -> DataFrame:
@@ -80,21 +81,40 @@ def semantic_duplicates(
     return nearest(queries, corpus, shown, below=distance)
 
 
-def duplicate_report(hits: DataFrame, batch: DataFrame, listings: DataFrame, limit: int = REPORT_SHOWN) -> DataFrame:
-    """Flagged rows with the listings they resemble, first ``limit`` rows of the file.
-
-    ``hits.query_id`` is the row's ``seq``. The rows to show are chosen before the listings are looked up, so the
-    look-up is for at most ``limit`` times ``SIMILAR_SHOWN`` ids.
-    """
-    first = hits.select("query_id").distinct().orderBy("query_id").limit(limit)
-    chosen = hits.join(first, "query_id", "left_semi").limit(limit * SIMILAR_SHOWN)
+def with_similar(hits: DataFrame, listings: DataFrame) -> DataFrame:
+    """``query_id, similar_to``: the listings of its hits, nearest first, at most ``SIMILAR_SHOWN`` each."""
     columns = ["id", "title", "url", "source", "city", "state"]
-    found = listings.select(*columns).join(F.broadcast(chosen), "id")
+    found = listings.select(*columns).join(hits, "id")
     similar = F.struct("rank", *columns, "distance")
-    grouped = found.groupBy("query_id").agg(F.sort_array(F.collect_list(similar)).alias("similar_to"))
+    return found.groupBy("query_id").agg(F.sort_array(F.collect_list(similar)).alias("similar_to"))
+
+
+def duplicate_report(hits: DataFrame, batch: DataFrame, listings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flagged rows of the file with the listings they resemble: all of them, or the first ``limit``.
+
+    ``hits.query_id`` is the row's ``seq``. The rows to show are chosen before the listings are looked up.
+    """
+    if limit is not None:
+        first = hits.select("query_id").distinct().orderBy("query_id").limit(limit)
+        hits = hits.join(first, "query_id", "left_semi")
     titles = batch.select(F.col("seq").alias("query_id"), F.col("title"))
-    return (
-        titles.join(F.broadcast(grouped), "query_id")
-        .select((F.col("query_id") + 2).alias("row"), "title", "similar_to")
-        .orderBy("row")
+    found = titles.join(with_similar(hits, listings), "query_id")
+    return found.select((F.col("query_id") + 2).alias("row"), "title", "similar_to")
+
+
+def deal_answers(outcomes: DataFrame, hits: DataFrame, listings: DataFrame) -> DataFrame:
+    """What each entered deal is told: ``seq, url, status, message, similar_to``.
+
+    A deal whose URL is stored already is not inserted, but its similar listings are shown all the same.
+    """
+    similar = with_similar(hits, listings).withColumnRenamed("query_id", "seq")
+    answered = outcomes.select("seq", "url", "title", "status").join(similar, "seq", "left")
+    known = F.col("status") == "skipped"
+    message = (
+        F.when(known, "A listing with this URL is stored already.")
+        .when(F.col("status") == "error", NO_URL)
+        .when(F.col("similar_to").isNotNull(), "Stored; similar listings exist.")
+        .otherwise("Stored.")
     )
+    status = F.when(known, "duplicate_url").otherwise(F.col("status")).alias("status")
+    return answered.select("seq", "url", "title", status, message.alias("message"), "similar_to")

@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame
 from dealflow.operators.browse import listing_view
 from dealflow.operators.embed import EmbedFn
 from dealflow.operators.filters import NO_FILTER, ListingFilter
-from dealflow.operators.search import DEFAULT_THRESHOLD, RERANK_TOP, RerankFn, semantic_search, text_search
+from dealflow.operators.search import (
+    DEFAULT_THRESHOLD,
+    NO_CEILING,
+    RERANK_TOP,
+    RerankFn,
+    SearchBudget,
+    semantic_search,
+    text_search,
+)
 
 # Fixed value: queries of fewer words are looked up as text.
 LEAST_WORDS = 3
@@ -38,6 +46,7 @@ def search(
     rerank: bool = True,
     rerank_top: int = RERANK_TOP,
     rerank_fn: RerankFn | None = None,
+    budget: SearchBudget = NO_CEILING,
 ) -> SearchResult:
     """Short queries go to text search, and so does any query that cannot be embedded."""
     if not query:
@@ -57,5 +66,5 @@ def search(
     queries = listings.sparkSession.createDataFrame(
         [(0, query, [float(v) for v in vector])], "query_id long, text string, embedding array<float>"
     )
-    hits = semantic_search(listings, queries, limit, threshold, filters, rerank, rerank_top, rerank_fn)
+    hits = semantic_search(listings, queries, limit, threshold, filters, rerank, rerank_top, rerank_fn, budget=budget)
     return SearchResult(query, "semantic + rerank" if rerank else "semantic", hits.orderBy("position"))
