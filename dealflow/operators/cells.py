@@ -8,6 +8,8 @@ with the data.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,11 +20,16 @@ from dealflow.operators.knn import HIT_SCHEMA, BestRows, int_column, vectors_of
 from dealflow.operators.topk import top_per_group
 from dealflow.session import materialise
 
-PIVOTS = 256
+LEAST_PIVOTS, MOST_PIVOTS = 8, 4096
 BLOCK_ROWS = 4096
 
 
-def sample_pivots(corpus: DataFrame, count: int = PIVOTS) -> np.ndarray:
+def pivot_count(rows: int) -> int:
+    """A cell per square root of the rows, within bounds that the driver and every task can hold."""
+    return max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(rows) // 2))
+
+
+def sample_pivots(corpus: DataFrame, count: int) -> np.ndarray:
     """Unit vectors of a fixed pseudo-random choice of rows (a top-k of ``count`` rows), without copies."""
     rows = corpus.orderBy(F.xxhash64("id"), "id").select("embedding").limit(count).toArrow()
     if not rows.num_rows:
@@ -167,10 +174,11 @@ def bounded_hits(queries: DataFrame, corpus: DataFrame, k: int, below: float | N
     Without ``below``, a first look into each query's own cell finds ``k`` rows there, and no row farther than the
     last of them can be among the nearest.
     """
-    pivots = sample_pivots(corpus)
+    pivots = sample_pivots(corpus, pivot_count(corpus.count()))
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
-    placed = assign_cells(corpus, pivots)
+    # Read three times below, computed once.
+    placed = materialise(assign_cells(corpus, pivots), "placed")
     stats = (
         placed.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
@@ -182,12 +190,12 @@ def bounded_hits(queries: DataFrame, corpus: DataFrame, k: int, below: float | N
         low[row["cell"]], high[row["cell"]] = row["low"], row["high"]
 
     if below is None:
-        own = spread_queries(queries, nearest_cells(pivots, 1))
+        own = materialise(spread_queries(queries, nearest_cells(pivots, 1)), "own-cells")
         first = cell_hits(own, placed, len(pivots), sizes, k, None)
         best = top_per_group(first, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
         last = best.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))
         queries = materialise(queries.join(last, "query_id", "left"), "bounded-queries")
     else:
         queries = queries.withColumn("far", F.lit(float(below)))
-    spread = spread_queries(queries, within_reach(pivots, low, high))
+    spread = materialise(spread_queries(queries, within_reach(pivots, low, high)), "spread")
     return cell_hits(spread, placed, len(pivots), sizes, k, below)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,15 @@ from dealflow.operators.cells import (
     spread_queries,
 )
 from dealflow.operators.knn import best_hits, collect_queries, scan_hits, usable_vectors
+from dealflow.session import materialise
 
-LISTS = 100
-# Vectors per cell that the centroids are fitted on; searches always read every vector of a probed cell.
-TRAIN_PER_LIST = 256
+# Rows of a stored file, so that a large cell is several files and a small one is one.
+FILE_ROWS = 1_000_000
+
+
+def list_count(rows: int) -> int:
+    """Cells for a corpus: the square root of its rows, so that a cell grows no faster than the number of cells."""
+    return max(1, math.isqrt(rows))
 
 
 @dataclass(frozen=True)
@@ -33,14 +39,10 @@ class IvfIndex:
     sizes: dict[int, int]
 
 
-def fit_centroids(corpus: DataFrame, lists: int = LISTS, seed: int = 7) -> np.ndarray:
-    """Unit k-means centroids, fitted on a bounded sample of the vectors."""
-    rows = corpus.count()
-    fraction = min(1.0, lists * TRAIN_PER_LIST / max(1, rows))
-    sample = corpus.select(array_to_vector("embedding").alias("raw"))
-    if fraction < 1.0:
-        sample = sample.sample(fraction, seed)
-    unit = Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(sample).select("features")
+def fit_centroids(corpus: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
+    """Unit k-means centroids, fitted on all vectors."""
+    raw = corpus.select(array_to_vector("embedding").alias("raw"))
+    unit = Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(raw).select("features")
     unit = unit.persist()
     try:
         model = KMeans(k=lists, maxIter=10, seed=seed).fit(unit)
@@ -51,16 +53,20 @@ def fit_centroids(corpus: DataFrame, lists: int = LISTS, seed: int = 7) -> np.nd
     return (centroids / np.where(sizes > 0, sizes, 1.0))[sizes[:, 0] > 0]
 
 
-def build_index(corpus: DataFrame, path: str, lists: int = LISTS, seed: int = 7) -> IvfIndex:
+def build_index(corpus: DataFrame, path: str, lists: int | None = None, seed: int = 7) -> IvfIndex:
     """Store ``id, embedding`` by nearest centroid; a search reads the probed cells only.
 
-    Tasks write what they hold, without a shuffle by cell, so a cell with much of the corpus is many files.
+    There are ``list_count`` cells unless ``lists`` is given. Rows are shuffled by cell, a large cell in several parts,
+    so there are about as many files as cells.
     """
     corpus = usable_vectors(corpus, "id")
-    centroids = fit_centroids(corpus, lists, seed)
-    assign_cells(corpus, centroids).drop("gap").write.partitionBy("cell").parquet(path)
-    counts = corpus.sparkSession.read.parquet(path).groupBy("cell").count().collect()
-    return IvfIndex(path, centroids, {r["cell"]: r["count"] for r in counts})
+    centroids = fit_centroids(corpus, lists or list_count(corpus.count()), seed)
+    placed = materialise(assign_cells(corpus, centroids).drop("gap"), "placed")
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    parts = F.get(F.array(*[F.lit(1 + sizes.get(c, 0) // FILE_ROWS) for c in range(len(centroids))]), F.col("cell"))
+    part = F.pmod(F.xxhash64("id"), parts)
+    placed.repartition("cell", part).write.partitionBy("cell").parquet(path)
+    return IvfIndex(path, centroids, sizes)
 
 
 def ivf_nearest(

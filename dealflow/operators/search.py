@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +19,38 @@ from dealflow.operators.topk import top_per_group
 RerankFn = Callable[[str, list[str]], list[float]]
 
 # Candidate budget, rerank depth and fusion weights.
-FETCH_MULTIPLIER, FETCH_LEAST, FETCH_MOST = 2, 30, 120
-RERANK_TOP, RERANK_MOST, RERANK_CHARS = 20, 40, 1200
+FETCH_MULTIPLIER, FETCH_LEAST = 2, 30
+RERANK_TOP = 20
 WEIGHT_VECTOR, WEIGHT_RERANK = 0.4, 0.6
 DEFAULT_THRESHOLD = 0.6
 
 SEARCHED = ["title", "description", "industry", "city", "state"]
 
 
+@dataclass(frozen=True)
+class SearchBudget:
+    """How much a search looks at. Without the last three there is no ceiling and texts are scored whole."""
+
+    fetch_multiplier: int = FETCH_MULTIPLIER
+    fetch_least: int = FETCH_LEAST
+    fetch_most: int | None = None
+    rerank_most: int | None = None
+    rerank_chars: int | None = None
+
+    def fetch(self, limit: int) -> int:
+        """Candidates to fetch for ``limit`` results."""
+        wanted = max(limit * self.fetch_multiplier, self.fetch_least)
+        return wanted if self.fetch_most is None else min(self.fetch_most, wanted)
+
+    def depth(self, limit: int, rerank_top: int) -> int:
+        """Candidates to score for ``limit`` results."""
+        wanted = max(limit, rerank_top)
+        return wanted if self.rerank_most is None else min(self.rerank_most, wanted)
+
+
+NO_CEILING = SearchBudget()
+
+
 def like_pattern(query: str) -> str:
     """``%query%`` with the query's own wildcards kept; a backslash quotes the character after it."""
     return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{query}%", flags=re.DOTALL)
@@ -58,10 +83,6 @@ def text_search_many(
     return listing_view(listings).join(best.hint("broadcast") if small else best, "id")
 
 
-def fetch_limit(limit: int) -> int:
-    return min(FETCH_MOST, max(limit * FETCH_MULTIPLIER, FETCH_LEAST, limit))
-
-
 def candidate_ids(
     listings: DataFrame, queries: DataFrame, fetch: int, filters: ListingFilter = NO_FILTER
 ) -> DataFrame:
@@ -71,10 +92,14 @@ def candidate_ids(
 
 
 def semantic_candidates(
-    listings: DataFrame, queries: DataFrame, limit: int = 20, filters: ListingFilter = NO_FILTER
+    listings: DataFrame,
+    queries: DataFrame,
+    limit: int = 20,
+    filters: ListingFilter = NO_FILTER,
+    budget: SearchBudget = NO_CEILING,
 ) -> DataFrame:
     """The candidate budget of nearest listings per query, with their columns."""
-    return _with_listing(candidate_ids(listings, queries, fetch_limit(limit), filters), listings)
+    return _with_listing(candidate_ids(listings, queries, budget.fetch(limit), filters), listings)
 
 
 def _with_listing(hits: DataFrame, listings: DataFrame) -> DataFrame:
@@ -93,12 +118,13 @@ def word_overlap(asked: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
 
-def rerank_text() -> Column:
-    return F.substring(F.coalesce(F.col("description"), F.lit("N/A")), 1, RERANK_CHARS)
+def rerank_text(chars: int | None = None) -> Column:
+    text = F.coalesce(F.col("description"), F.lit("N/A"))
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def _model_scores(pairs: DataFrame, rerank_fn: RerankFn) -> DataFrame:
-    """Scores of one query's slice (at most 40 texts) per call; a failing or short answer leaves them NULL."""
+    """Scores of one query's slice per call; a failing or short answer leaves them NULL."""
 
     def score(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank")
@@ -114,10 +140,6 @@ def _model_scores(pairs: DataFrame, rerank_fn: RerankFn) -> DataFrame:
     return pairs.groupBy("query_id").applyInPandas(score, "query_id long, id long, rerank_score double")
 
 
-def rerank_count(limit: int, rerank_top: int = RERANK_TOP) -> int:
-    return min(RERANK_MOST, max(limit, rerank_top))
-
-
 def fuse(hits: DataFrame, limit: int) -> DataFrame:
     """Scored hits by rerank score (equal scores keep their order), then the others, cut to ``limit``."""
     scored = F.col("rerank_score").isNotNull()
@@ -143,33 +165,34 @@ def semantic_search(
     rerank_top: int = RERANK_TOP,
     rerank_fn: RerankFn | None = None,
     hits: DataFrame | None = None,
+    budget: SearchBudget = NO_CEILING,
 ) -> DataFrame:
     """Nearest listings per query within ``threshold``, reranked and cut to ``limit``; ordered by ``position``.
 
     ``queries`` has ``query_id, embedding`` and, for reranking, ``text``. Every step after the vector search works on
-    at most 120 short rows per query. ``hits`` are candidates found otherwise, as by ``ivf.ivf_nearest``; an index knows
+    the candidates that ``budget`` allows. ``hits`` are candidates found otherwise, as by ``ivf.ivf_nearest``; an index knows
     nothing of filters, so they exclude each other.
     """
     if not 1 <= limit <= 100 or not 0.0 <= threshold <= 1.0 or not 1 <= rerank_top <= 100:
         raise ValueError("limit and rerank_top must be 1..100 and threshold 0..1")
     if hits is None:
-        hits = candidate_ids(listings, queries, fetch_limit(limit), filters)
+        hits = candidate_ids(listings, queries, budget.fetch(max(limit, rerank_top if rerank else 0)), filters)
     elif filters != NO_FILTER:
         raise ValueError("give either hits or filters")
     hits = hits.where(F.col("distance") <= threshold)
     if not rerank:
         found = _with_listing(hits.where(F.col("rank") <= limit), listings)
         return found.withColumnRenamed("rank", "position")
-    depth = rerank_count(limit, rerank_top)
+    depth = budget.depth(limit, rerank_top)
     found = _with_listing(hits.where(F.col("rank") <= max(depth, limit)), listings)
     in_slice = F.col("rank") <= depth
     if rerank_fn is None:
         # The words of a query are taken once, not once per hit.
         asked = queries.select("query_id", words(F.col("text")).alias("_asked"))
-        score = F.when(in_slice, word_overlap(F.col("_asked"), rerank_text()))
+        score = F.when(in_slice, word_overlap(F.col("_asked"), rerank_text(budget.rerank_chars)))
         found = found.join(asked, "query_id").withColumn("rerank_score", score).drop("_asked")
     else:
-        pairs = found.where(in_slice).select("query_id", "id", "rank", rerank_text().alias("passage"))
+        pairs = found.where(in_slice).select("query_id", "id", "rank", rerank_text(budget.rerank_chars).alias("passage"))
         pairs = pairs.join(queries.select("query_id", "text"), "query_id")
         found = found.join(_model_scores(pairs, rerank_fn), ["query_id", "id"], "left")
     return fuse(found, limit).drop("rank")

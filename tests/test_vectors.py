@@ -178,7 +178,7 @@ def test_index_candidates(spark, tmp_path):
     df = searchable(spark)
     corpus = df.select("id", F.col("description_embedding").alias("embedding"))
     index = ivf.build_index(corpus, str(tmp_path / "ivf"), lists=2)
-    hits = ivf.ivf_nearest(spark, index, question(spark), search.fetch_limit(20), probes=2)
+    hits = ivf.ivf_nearest(spark, index, question(spark), search.NO_CEILING.fetch(20), probes=2)
     found = search.semantic_search(df, question(spark), hits=hits).orderBy("position").collect()
     assert [r["id"] for r in found] == [3, 2, 1]
     with pytest.raises(ValueError):
@@ -206,7 +206,9 @@ def test_dispatch(spark):
     assert search_request(df, "gamma delta words", lambda t: [[]]).total == 0
     found = search_request(df, "gamma delta words", lambda t: [[1.0, 0.0]])
     assert found.method == "semantic + rerank" and [r["id"] for r in found.data.collect()] == [3, 2, 1]
-    assert search.fetch_limit(20) == 40 and search.fetch_limit(5) == 30 and search.fetch_limit(100) == 120
+    free, bound = search.NO_CEILING, search.SearchBudget(fetch_most=120, rerank_most=40)
+    assert [free.fetch(n) for n in (20, 5, 100)] == [40, 30, 200] and bound.fetch(100) == 120
+    assert free.depth(100, 20) == 100 and bound.depth(100, 20) == 40
 
 
 def test_backfill(spark):
