@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealflow.functions.money import ensure_numeric_columns, with_money_fields
 from dealflow.functions.text import is_present
-from dealflow.operators.filters import NO_FILTER, ListingFilter, resolve_sort
+from dealflow.operators.filters import NO_FILTER, ListingFilter, SortChoice
 from dealflow.operators.numbering import number_rows
 from dealflow.schema import LISTING_COLUMNS, NUMERIC_COLUMNS
 
@@ -33,13 +33,12 @@ def listing_page(
     """One page in a stable order: sort column with NULLs last, then newest id first."""
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be at least 1 and per_page between 1 and 100")
-    column, descending = resolve_sort(sort_by, sort_order)
-    key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    order = [key, F.col("id").desc()]
+    choice = SortChoice(sort_by, sort_order)
+    order = [choice.ordering(), F.col("id").desc()]
     matching = filters.apply(listings)
     offset = (page - 1) * per_page
     if offset + per_page > TOP_ROWS:
-        matching = _deep_page(matching, column, order, offset, per_page)
+        matching = _deep_page(matching, choice.column, order, offset, per_page)
         return listing_view(matching.orderBy(*order).limit(per_page))
     return listing_view(matching.orderBy(*order).offset(offset).limit(per_page))
 

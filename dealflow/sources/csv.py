@@ -26,11 +26,11 @@ def map_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def read_listing_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_listing_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Records of listing files with a header row, as text.
 
-    Cells may hold line breaks, so a file is one task; pass ``multi_line=False`` for large files without such cells.
-    Bytes that are not UTF-8 become the replacement character.
+    Large files are split by line. Pass ``multi_line=True`` for files whose cells hold line breaks; each is then one
+    task. Bytes that are not UTF-8 become the replacement character.
     """
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False, encoding="UTF-8")
     return map_columns(with_origin(raw))
@@ -75,10 +75,11 @@ def listing_urls(rows: DataFrame, domain: str, cells: str = "cells", order: str
     return found.groupBy("url").agg(F.min("seq").alias("seq"))
 
 
-def read_url_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_url_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Cells of every record of header-less CSV files of any width, numbered: ``cells array<string>, seq``.
 
-    A quoted cell may hold line breaks, so a file is one task; ``multi_line=False`` splits large files by line.
+    Large files are split by line. With ``multi_line=True`` quoted cells may hold line breaks, and a file, of at most
+    2 GB, is one task.
     """
     if multi_line:
         content = F.make_valid_utf8(F.col("content").cast("string"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealflow.operators import browse, dashboard, screen, sla, stats
-from dealflow.operators.filters import ListingFilter, resolve_sort
+from dealflow.operators.filters import ListingFilter, SortChoice
 from dealflow.plans.overview import overview, overview_rows
 from helpers import AS_OF, listings, moment, plan_of, records, values
 
@@ -44,12 +44,13 @@ def test_filters(spark):
 
 
 def test_sort_names():
-    assert resolve_sort("cash_flow", "ASC") == ("cash_flow_num", False)
+    choice = SortChoice("cash_flow", "ASC")
+    assert (choice.column, choice.descending) == ("cash_flow_num", False)
     for bad in ("title", "drop table"):
-        with pytest.raises(ValueError, match="Allowed values"):
-            resolve_sort(bad, "asc")
+        with pytest.raises(ValueError, match="Invalid sort_by"):
+            SortChoice(bad, "asc")
     with pytest.raises(ValueError):
-        resolve_sort("price", "up")
+        SortChoice("price", "up")
 
 
 def test_pages_are_stable_with_nulls_last(spark):
