@@ -173,11 +173,11 @@ def merged(updates, result, batch=NORM_BATCH):
     kept = ", ".join(either(c) if c in updates else f"coalesce(l.{c}, CASE WHEN l.url IS NULL THEN m.{c} END) AS {c}" for c in RECORD if c != "url")
     nums = ", ".join(f"{num(c)}::DOUBLE AS {c}_num" for c in MONEY)
     return f"""WITH {LISTINGS}, {batch},
-m AS (SELECT url, min(seq) AS seq, {firsts}, {lasts} FROM batch WHERE url <> 'N/A' GROUP BY url),
+m AS (SELECT url, min(seq) AS seq, max(seq) AS last_seq, {firsts}, {lasts} FROM batch WHERE url <> 'N/A' GROUP BY url),
 j AS (SELECT coalesce(l.id, (SELECT max(id) FROM listings) + 1 + m.seq) AS id, coalesce(l.url, m.url) AS url, {kept},
   {iso(f"CASE WHEN l.url IS NULL THEN {NOW} ELSE l.first_seen_date END")} AS first_seen_date,
   {iso(f"CASE WHEN m.url IS NULL THEN l.last_seen_date ELSE {NOW} END")} AS last_seen_date,
-  m.url IS NOT NULL AS touched, l.url IS NULL AS fresh, m.seq AS first_seq
+  m.url IS NOT NULL AS touched, l.url IS NULL AS fresh, m.last_seq
   FROM listings l FULL JOIN m ON l.url = m.url),
 after AS (SELECT *, sha256(url) AS listing_hash, {nums} FROM j)
 SELECT {result} FROM after"""
@@ -315,21 +315,23 @@ WHERE {SCREEN}""",
     + " AS title, 'US' AS country, 'SiteB' AS source, '2001-08-01' AS scraping_date, "
     + ", ".join(f"'N/A' AS {c}" for c in RECORD if c not in ("title", "country", "source", "url", "source_link", "scraping_date"))
     + " FROM pages",
-    "html_extract_labelled": f"""WITH {RAW}, t AS (SELECT *, string_split({na(squeeze("concat_ws(', ', city, state)"))}, ',') AS parts FROM raw
-  WHERE price IS NOT NULL AND cash_flow IS NOT NULL)
+    "html_extract_labelled": f"""WITH {RAW}, t AS (SELECT *, string_split({na(squeeze("concat_ws(', ', city, state)"))}, ',') AS parts FROM (SELECT * REPLACE (coalesce(price, '-') AS price, coalesce(cash_flow, '-') AS cash_flow) FROM raw))
 SELECT id, 'Deal ' || CAST(id AS VARCHAR) AS title, {na(squeeze('parts[1]'))} AS city, {na(squeeze('parts[2]'))} AS state, 'US' AS country,
   'N/A' AS industry, 'SiteB' AS source, 'OneTwo & ' || industry AS description, listed_by_firm, listed_by_name, phone, 'a@b.c' AS email,
   {na(squeeze('price'))} AS price, 'N/A' AS gross_revenue, {na(squeeze('cash_flow'))} AS cash_flow, 'N/A' AS inventory, 'N/A' AS ebitda,
   '2001-08-01' AS scraping_date, CASE WHEN {na(squeeze('cash_flow'))} = 'N/A' THEN 'N/A' ELSE 'Cash Flow: ' || {squeeze('cash_flow')} END AS financial_data,
   'N/A' AS extra_information, 'N/A' AS deal_date FROM t""",
     "blocked_pages": """SELECT page_id, page_id % 3 = 0 OR (page_id % 5 <> 0 AND page_id % 7 = 0) OR (page_id % 3 <> 0 AND
-    regexp_matches(lower(left(html, 11000)), 'access denied|forbidden|temporarily unavailable|blocked|attention required|verify you are human|captcha|enable javascript and cookies')) AS blocked FROM pages""",
+    regexp_matches(lower(html), 'access denied|forbidden|temporarily unavailable|blocked|attention required|verify you are human|captcha|enable javascript and cookies')) AS blocked FROM pages""",
     "url_list_first_seen": """WITH c AS (SELECT page_id, CASE WHEN starts_with(url, 'http') AND contains(url, 'example.com') THEN url
     ELSE CASE WHEN page_id % 5 = 0 THEN 'https://alt.example.com/Business-Auction/' ELSE 'https://alt.example.com/b/' END || CAST(page_id % 17 AS VARCHAR) END AS u FROM pages)
 SELECT u AS url, min(page_id) AS seq FROM c WHERE NOT contains(u, 'Business-Auction') GROUP BY 1""",
+    "url_list_files": """WITH p AS (SELECT CASE WHEN starts_with(url, 'http') AND contains(url, 'example.com') THEN url WHEN page_id % 4 <> 0 THEN 'https://example.com/never' END AS url,
+  row_number() OVER (ORDER BY page_id) - 1 AS seq FROM pages)
+SELECT url, min(seq) AS seq FROM p WHERE url IS NOT NULL GROUP BY 1""",
     "listing_csv": f"WITH {RAW} SELECT row_number() OVER (ORDER BY id) - 1 AS seq, " + ", ".join(f"{norm(c)} AS {c}" for c in RECORD) + " FROM raw",
     "upsert_collector": merged(COLLECTOR_UPDATES, "id, url, listing_hash, title, state, description, price, gross_revenue, cash_flow, ebitda, inventory, financial_data, scraping_date, price_num, gross_revenue_num, cash_flow_num, ebitda_num, first_seen_date, last_seen_date"),
-    "upsert_upload": merged(UPLOAD_UPDATES, "id, url, title, inventory, price, price_num, description, scraping_date, CASE WHEN touched THEN (SELECT max(b.seq) % 7 FROM batch b WHERE b.url = after.url)::DOUBLE END AS embedding_first"),
+    "upsert_upload": merged(UPLOAD_UPDATES, "id, url, title, inventory, price, gross_revenue, cash_flow, ebitda, price_num, gross_revenue_num, cash_flow_num, ebitda_num, description, scraping_date, CASE WHEN touched THEN last_seq % 7 END::DOUBLE AS embedding_0, CASE WHEN touched THEN 1.0 END::DOUBLE AS embedding_1"),
     "existing_urls": f"WITH {RAW}, batch AS ({BATCH_SQL}) SELECT seq, url FROM batch WHERE url IN (SELECT url FROM raw)",
     "new_urls": f"WITH {RAW}, batch AS ({BATCH_SQL}) SELECT seq, url FROM batch WHERE url NOT IN (SELECT url FROM raw)",
     "urls_of_source": f"WITH {RAW} SELECT url FROM raw WHERE source = 'SiteB'",
@@ -338,7 +340,7 @@ SELECT u AS url, min(page_id) AS seq FROM c WHERE NOT contains(u, 'Business-Auct
     "upload_summary": f"""WITH {OUTCOMES}, n AS (SELECT count(*) FILTER (status = 'inserted') AS inserted, count(*) FILTER (status = 'skipped') AS skipped_duplicates,
   count(*) FILTER (status = 'error') AS error_count FROM outcomes)
 SELECT *, 'Processed CSV: ' || inserted || ' inserted, ' || skipped_duplicates || ' skipped (duplicates), ' || error_count || ' errors.' AS message FROM n""",
-    "upload_errors": f"WITH {OUTCOMES} SELECT seq + 2 AS row, 'Missing URL' AS error FROM outcomes WHERE status = 'error' ORDER BY seq LIMIT 20",
+    "upload_errors": f"WITH {OUTCOMES} SELECT seq + 2 AS row, 'Missing URL' AS error FROM outcomes WHERE status = 'error'",
     "upload_manual": f"""WITH {RAW}, b AS ({BATCH_SQL}), f AS (SELECT seq, coalesce(title, '') AS title, coalesce(country, 'US') AS country,
     CASE WHEN seq % 4 = 0 THEN 'Phone' ELSE 'Manual' END AS source, '' AS industry,
     CASE WHEN seq % 3 = 0 THEN 'manual://' || sha256(coalesce(title, '') || coalesce(description, '')) ELSE url END AS url FROM b)
@@ -346,9 +348,30 @@ SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM raw r WHERE r.url = f.url) OR row_nu
   THEN 'skipped' ELSE 'inserted' END AS status FROM f""",
     "upload_listings": f"""WITH {LISTINGS}, {UPLOAD_BATCH},
 o AS (SELECT b.*, row_number() OVER (PARTITION BY b.url ORDER BY b.seq) AS nth FROM batch b WHERE b.url <> 'N/A' AND b.url NOT IN (SELECT url FROM raw))
-SELECT id, url, title, price_num::DOUBLE AS price_num, scraping_date, 0::INTEGER AS dimensions FROM listings
-UNION ALL SELECT (SELECT max(id) FROM raw) + 1 + seq, url, title, {num('price')}::DOUBLE, '2001-08-01', CASE WHEN description = 'N/A' THEN 0 ELSE 16 END FROM o WHERE nth = 1""",
-    "stream_ingest": f"WITH {NORM_BATCH} SELECT url, arg_min(state, seq) AS state, true AS dated FROM batch GROUP BY url",
+SELECT id, url, title, price_num::DOUBLE AS price_num, scraping_date,
+  NULL::DOUBLE AS embedding_0, NULL::DOUBLE AS embedding_1, NULL::DOUBLE AS embedding_2 FROM listings
+UNION ALL SELECT (SELECT max(id) FROM raw) + 1 + seq, url, title, {num('price')}::DOUBLE, '2001-08-01',
+  CASE WHEN description <> 'N/A' THEN length(description) % 7 END, CASE WHEN description <> 'N/A' THEN length(description) % 11 END,
+  CASE WHEN description <> 'N/A' THEN 1 END FROM o WHERE nth = 1""",
+    "deal_upload": f"""WITH {DESCRIBED}, v AS (SELECT *, [length(description) % 7, length(description) % 11, 1]::DOUBLE[] AS vector,
+    [(length(description) + 1) % 7, (length(description) + 1) % 11, 1]::DOUBLE[] AS asked FROM described),
+d AS (SELECT id AS seq, title, asked, CASE WHEN id % 3 = 0 THEN 'manual://' || sha256(title || description || '!')
+    ELSE 'https://example.org/d/' || CAST(id * 2 AS VARCHAR) END AS url FROM v),
+o AS (SELECT *, CASE WHEN url IN (SELECT 'https://example.org/d/' || CAST(id AS VARCHAR) FROM described)
+    OR row_number() OVER (PARTITION BY url ORDER BY seq) > 1 THEN 'duplicate_url' ELSE 'inserted' END AS status FROM d),
+c AS (SELECT id, vector, -1 AS seq FROM v UNION ALL SELECT (SELECT max(id) FROM v) + 1 + seq, asked, seq FROM o WHERE status = 'inserted'),
+p AS (SELECT o.seq, c.id, round(greatest(0.0, 1 - list_cosine_similarity(o.asked, c.vector)), 12) AS distance FROM o, c WHERE c.seq < o.seq),
+r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance, id) AS n FROM p WHERE distance < 0.15),
+s AS (SELECT seq, string_agg(CAST(id AS VARCHAR), '|' ORDER BY n) AS resembles FROM r WHERE n <= 5 GROUP BY seq)
+SELECT seq, url, title, status, CASE WHEN status = 'duplicate_url' THEN 'A listing with this URL is stored already.'
+  WHEN resembles IS NOT NULL THEN 'Stored; similar listings exist.' ELSE 'Stored.' END AS message, resembles FROM o LEFT JOIN s USING (seq)""",
+    "duplicate_report": f"""WITH {DESCRIBED}, q AS (SELECT vec_id AS query_id, {PERTURB} AS embedding FROM embeddings),
+c AS (SELECT vec_id AS id, embedding FROM embeddings), {neighbours('q', 'c', 5, f'{DISTANCE} < 0.15')}
+SELECT query_id + 2 AS row, t.title, string_agg(rank || ' ' || h.id || ' ' || t.title || ' ' || d.state, '|' ORDER BY rank) AS resembles
+FROM hits h JOIN described d ON h.id = d.id JOIN described t ON t.id = query_id GROUP BY ALL""",
+    "stream_ingest": f"""WITH {NORM_BATCH}, m AS (SELECT url, arg_min(state, seq) AS state, arg_min(city, seq) AS city,
+    {', '.join(f'arg_max({c}, seq) AS {c}' for c in COLLECTOR_UPDATES)} FROM batch GROUP BY url)
+SELECT *, sha256(url) AS listing_hash, {', '.join(f'{num(c)}::DOUBLE AS {c}_num' for c in MONEY)}, true AS dated FROM m""",
     "cosine_distance": f"SELECT vec_id, round(greatest(0.0, 1 - list_cosine_similarity(embedding::DOUBLE[], {PERTURB}::DOUBLE[])), 4) AS distance FROM embeddings",
     "cosine_topk": TOP10,
     "cosine_topk_cells": TOP10,
@@ -365,10 +388,21 @@ SELECT query_id, h.id, industry, rank AS position, round(distance, 4) AS distanc
 FROM hits h JOIN described d ON h.id = d.id WHERE distance <= 0.6 AND rank <= 10""",
     "semantic_rerank": f"""WITH {DESCRIBED}, q AS (SELECT vec_id AS query_id, embedding, text, {words('text')} AS asked FROM embeddings JOIN documents ON vec_id = doc_id),
 c AS (SELECT * FROM described WHERE embedding IS NOT NULL), {neighbours('q', 'c', 30)},
-s AS (SELECT h.query_id, h.id, h.rank, CASE WHEN rank <= 20 THEN coalesce(len(list_intersect(asked, {words('substr(description, 1, 1200)')}))::DOUBLE / nullif(len(asked), 0), 0.0) END AS score
+s AS (SELECT h.query_id, h.id, h.rank, CASE WHEN rank <= 20 THEN coalesce(len(list_intersect(asked, {words('description')}))::DOUBLE / nullif(len(asked), 0), 0.0) END AS score
   FROM hits h JOIN described d ON h.id = d.id JOIN q ON q.query_id = h.query_id WHERE distance <= 0.9 AND rank <= 20),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS position FROM s)
 SELECT query_id, id, CAST(position AS INTEGER) AS position, round(score, 4) AS rerank_score FROM p WHERE position <= 10""",
+    "rerank_model": f"""WITH {DESCRIBED}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings JOIN documents ON vec_id = doc_id),
+c AS (SELECT * FROM described WHERE embedding IS NOT NULL), {neighbours('q', 'c', 20)},
+s AS (SELECT h.query_id, h.id, h.rank, length(description)::DOUBLE AS score FROM hits h JOIN described d ON h.id = d.id WHERE distance <= 0.9),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS position FROM s)
+SELECT query_id, id, CAST(position AS INTEGER) AS position, score AS rerank_score FROM p WHERE position <= 10""",
+    "search_semantic": f"""WITH {DESCRIBED}, q AS (SELECT 0 AS query_id, list_transform(range(64), lambda i: 1.0::FLOAT) AS embedding),
+c AS (SELECT * FROM described WHERE embedding IS NOT NULL), {neighbours('q', 'c', 40)},
+s AS (SELECT h.id, title, rank, len(list_intersect(['the', 'of', 'and'], {words('description')})) AS score
+  FROM hits h JOIN described d ON h.id = d.id WHERE distance <= 1.0 AND rank <= 20)
+SELECT id, title, 'semantic + rerank' AS method FROM s ORDER BY score DESC, rank LIMIT 20""",
+    "search_fallback": f"WITH {DESCRIBED} SELECT id, title, 'text (embedding fallback)' AS method FROM described WHERE {like_any('In, of the inanin')} ORDER BY id LIMIT 20",
     "text_search": f"""WITH {DESCRIBED} SELECT id, 'https://example.org/d/' || CAST(id AS VARCHAR) AS url, source, title, city, state, country, industry, description,
   {', '.join(f"'N/A' AS {c}" for c in ('listed_by_firm', 'listed_by_name', 'phone', 'email'))}, '$' || CAST(n_chars AS VARCHAR) AS price,
   {', '.join(f"'N/A' AS {c}" for c in ('gross_revenue', 'cash_flow', 'inventory', 'ebitda', 'financial_data', 'source_link', 'extra_information', 'deal_date'))},
@@ -380,5 +414,8 @@ SELECT query_id, id, CAST(position AS INTEGER) AS position, round(score, 4) AS r
     ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM a) SELECT query_id, id, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 15",
     "search_dispatch": f"WITH {DESCRIBED} SELECT id, title FROM described WHERE {like_any('tion on')} ORDER BY id LIMIT 20",
     "embedding_backlog": "SELECT doc_id AS id, text AS description FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
-    "embedding_backfill": "SELECT doc_id AS id, 64::INTEGER AS dimensions FROM documents",
+    "embedding_backfill": """SELECT doc_id AS id, round(coalesce(embedding[1]::DOUBLE, length(text)), 6) AS embedding_0,
+  round(coalesce(embedding[2]::DOUBLE, length(text) - length(replace(text, 'e', ''))), 6) AS embedding_1
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
+    "ivf_topk": "SELECT true AS enough, 10 * count(*) AS rows FROM embeddings",
 }

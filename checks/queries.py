@@ -14,6 +14,7 @@ from dealflow.operators.collector import map_items, parse_item
 from dealflow.operators.filters import ListingFilter
 from dealflow.plans.overview import overview, overview_rows
 from dealflow.plans.search import search as search_request
+from dealflow.plans.upload import enter_deals
 from dealflow.plans.upload import upload as upload_batch
 from dealflow.schema import LISTING_COLUMNS, NUMERIC_COLUMNS, RECORD_COLUMNS
 from dealflow.session import work_path
@@ -342,12 +343,13 @@ def html_extract(spark, sf):
 @query
 def html_extract_labelled(spark, sf):
     """Every listing as a small page with labels and links, read back."""
-    rows = tables.texts(spark, sf).where(F.col("price").isNotNull() & F.col("cash_flow").isNotNull())
+    rows = tables.texts(spark, sf)
+    price, cash_flow = (F.coalesce(c, F.lit("-")) for c in ("price", "cash_flow"))
     html = F.concat(
         F.lit("<html><body><h1>Deal "), F.col("id").cast("string"), F.lit("</h1><h2 class='small gray'>"),
         F.concat_ws(", ", "city", "state"), F.lit("</h2><div class='x businessDescription y'><p>One<p>Two &amp; "),
-        F.col("industry"), F.lit("</div><p><span>Asking Price:</span> <b>-</b> <span>"), F.col("price"),
-        F.lit("</span></p><p><span class=l>Cash Flow: </span><span>"), F.col("cash_flow"),
+        F.col("industry"), F.lit("</div><p><span>Asking Price:</span> <b>-</b> <span>"), price,
+        F.lit("</span></p><p><span class=l>Cash Flow: </span><span>"), cash_flow,
         F.lit("</span></p><div>Business Listed By: "), F.col("listed_by_name"),
         F.lit("</div><div class=cmp-name>"), F.col("listed_by_firm"),
         F.lit("</div><div><span><span>Phone Number</span></span><span><a href='tel:"), F.col("phone"),
@@ -377,6 +379,18 @@ def url_list_first_seen(spark, sf):
     return csv_files.listing_urls(rows.select(cells.alias("cells"), F.col("page_id").alias("seq")), "example.com")
 
 
+@query
+def url_list_files(spark, sf):
+    """The same links out of header-less files of any width, one folder read as a whole."""
+    path = work_path(spark, "urls")
+    rows = tables.read(spark, sf, "pages").orderBy("page_id")
+    line = F.when(F.col("page_id") % 4 == 0, F.concat_ws(",", "page_id", "url")).otherwise(
+        F.concat_ws(",", F.lit('"a, b"'), F.concat(F.lit('"  '), "url", F.lit('"')), F.lit("https://example.com/never"), F.lit(""))
+    )
+    rows.select(line.alias("value")).write.text(path)
+    return csv_files.listing_urls(csv_files.read_url_rows(spark, path), "example.com")
+
+
 @query
 def listing_csv(spark, sf):
     """Records written to CSV, read back and normalised."""
@@ -405,8 +419,18 @@ def upsert_upload(spark, sf):
     batch = upsert.normalise_records(tables.batch(spark, sf))
     batch = batch.withColumn("description_embedding", F.array((F.col("seq") % 7).cast("float"), F.lit(1.0).cast("float")))
     merged = upsert.upsert(tables.listings(spark, sf), batch, AS_OF, upsert.UPLOAD_UPDATES)
-    first = F.get("description_embedding", F.lit(0)).cast("double").alias("embedding_first")
-    return plain(merged.select("id", "url", "title", "inventory", "price", "price_num", "description", "scraping_date", first))
+    shown = ["id", "url", "title", "inventory", "price", "gross_revenue", "cash_flow", "ebitda", *NUMERIC_COLUMNS, "description", "scraping_date"]
+    return plain(merged.select(*shown, *_elements("description_embedding", 2)))
+
+
+def _elements(vector, count):
+    """A vector as columns; round numbers, since other engines read them as well."""
+    return [F.round(F.get(vector, F.lit(i)).cast("double"), 6).alias(f"embedding_{i}") for i in range(count)]
+
+
+def _size_embedder(texts_):
+    """A model simple enough for SQL."""
+    return [[float(len(t) % 7), float(len(t) % 11), 1.0] for t in texts_]
 
 
 def _upload_batch(spark, sf):
@@ -470,19 +494,39 @@ def upload_manual(spark, sf):
 @query
 def upload_listings(spark, sf):
     """The whole upload: check, embed, merge."""
-    result = upload_batch(tables.listings(spark, sf), _upload_batch(spark, sf), embed.hashing_embedder(16), AS_OF, retry_wait=0.0)
-    dims = F.coalesce(F.size("description_embedding"), F.lit(0)).alias("dimensions")
-    return plain(result.listings.select("id", "url", "title", "price_num", "scraping_date", dims))
+    result = upload_batch(tables.listings(spark, sf), _upload_batch(spark, sf), _size_embedder, AS_OF, retry_wait=0.0)
+    shown = result.listings.select("id", "url", "title", "price_num", "scraping_date", *_elements("description_embedding", 3))
+    return plain(shown)
+
+
+@query
+def deal_upload(spark, sf):
+    """Documents entered as deals against documents stored as listings: what each deal is told."""
+    docs = tables.described(spark, sf)
+    size = F.length("description")
+    vector = F.array((size % 7).cast("float"), (size % 11).cast("float"), F.lit(1.0).cast("float"))
+    deals = docs.select(
+        F.col("id").alias("seq"), "title", F.concat("description", F.lit("!")).alias("description"),
+        F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("https://example.org/d/"), (F.col("id") * 2).cast("string"))).alias("url"),
+    )
+    _, answers = enter_deals(docs.withColumn("description_embedding", vector), deals, _size_embedder, AS_OF, retry_wait=0.0)
+    similar = F.array_join(F.transform("similar_to", lambda x: x["id"].cast("string")), "|").alias("resembles")
+    return answers.select("seq", "url", "title", "status", "message", similar)
 
 
 @query
 def stream_ingest(spark, sf):
-    """Record files merged by a stream into an empty table."""
+    """Record files that arrive in three parts, merged by a stream into an empty bucketed table."""
     files, root = work_path(spark, "records"), work_path(spark, "stream")
-    tables.batch(spark, sf).orderBy("seq").select(*RECORD_COLUMNS).write.json(files)
-    store = ListingStore(spark, f"{root}/listings")
-    start_ingest(record_stream(spark, files), store, f"{root}/rejects", f"{root}/checkpoint").awaitTermination()
-    return store.read().select("url", "state", F.col("first_seen_date").isNotNull().alias("dated"))
+    batch = tables.batch(spark, sf)
+    last = batch.agg(F.max("seq")).scalar()
+    store = ListingStore(spark, f"{root}/listings", buckets=4)
+    for part in range(3):
+        arrived = batch.where(F.floor(F.col("seq") * 3 / (last + 1)) == part)
+        arrived.orderBy("seq").select(*RECORD_COLUMNS).write.mode("append").json(files)
+        start_ingest(record_stream(spark, files), store, f"{root}/rejects", f"{root}/checkpoint").awaitTermination()
+    shown = ["url", "state", "city", "listing_hash", *upsert.COLLECTOR_UPDATES, *NUMERIC_COLUMNS]
+    return plain(store.read().select(*shown, F.col("first_seen_date").isNotNull().alias("dated")))
 
 
 # ---- vectors and search ------------------------------------------------------------------------------------------
@@ -536,6 +580,17 @@ def semantic_duplicates(spark, sf):
     return _rounded(upload.semantic_duplicates(queries, stored.unionByName(earlier)))
 
 
+@query
+def duplicate_report(spark, sf):
+    """Copies of all vectors as an uploaded file: every flagged row with the listings it resembles."""
+    docs = tables.described(spark, sf)
+    queries = _copies(spark, sf).select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = upload.semantic_duplicates(queries, _vectors(spark, sf, "id"))
+    found = upload.duplicate_report(hits, docs.select(F.col("id").alias("seq"), "title"), docs)
+    shown = F.transform("similar_to", lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["id"].cast("string"), "title", x["state"]))
+    return found.select("row", "title", F.array_join(shown, "|").alias("resembles"))
+
+
 def _questions(spark, sf):
     docs = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
     return docs.join(_vectors(spark, sf, "query_id"), "query_id")
@@ -561,6 +616,15 @@ def semantic_rerank(spark, sf):
     return found.select("query_id", "id", "position", F.round("rerank_score", 4).alias("rerank_score"))
 
 
+@query
+def rerank_model(spark, sf):
+    """The same with a model for the scores, here the length of the text."""
+    found = search.semantic_search(
+        tables.described(spark, sf), _questions(spark, sf), 10, threshold=0.9, rerank_fn=lambda _, found: [float(len(t)) for t in found]
+    )
+    return found.select("query_id", "id", "position", "rerank_score")
+
+
 @query
 def text_search(spark, sf):
     return plain(search.text_search(tables.described(spark, sf), "tion on")).select(*LISTING_COLUMNS)
@@ -579,6 +643,27 @@ def search_dispatch(spark, sf):
     return search_request(tables.described(spark, sf), "tion on", embed.hashing_embedder(64)).data.select("id", "title")
 
 
+def _answers(result):
+    return result.data.select("id", "title", F.lit(result.method).alias("method"))
+
+
+@query
+def search_semantic(spark, sf):
+    """A longer request goes through the vectors and is reranked."""
+    result = search_request(tables.described(spark, sf), "the of the and", lambda asked: [[1.0] * 64 for _ in asked], threshold=1.0)
+    return _answers(result)
+
+
+@query
+def search_fallback(spark, sf):
+    """A request that the model cannot embed is answered as text."""
+
+    def broken(asked):
+        raise ConnectionError("no model")
+
+    return _answers(search_request(tables.described(spark, sf), "In, of the inanin", broken))
+
+
 @query
 def embedding_backlog(spark, sf):
     return embed.embedding_backlog(tables.described(spark, sf)).select("id", "description")
@@ -586,14 +671,21 @@ def embedding_backlog(spark, sf):
 
 @query
 def embedding_backfill(spark, sf):
-    filled = embed.embedding_backfill(tables.described(spark, sf), embed.hashing_embedder(64))
-    return filled.select("id", F.size("description_embedding").alias("dimensions"))
+    """Vectors of whole texts: their length and how often they have an e."""
+    model = lambda found: [[float(len(t)), float(t.count("e"))] for t in found]
+    filled = embed.embedding_backfill(tables.described(spark, sf), model)
+    return filled.select("id", *_elements("description_embedding", 2))
 
 
 @query
 def ivf_topk(spark, sf):
-    index = ivf.build_index(_vectors(spark, sf, "id"), work_path(spark, "ivf"), lists=20)
-    return _rounded(ivf.ivf_nearest(spark, index, _vectors(spark, sf, "query_id"), 10, probes=8))
+    """Whether the index finds nine of ten exact neighbours, and how many rows it returns."""
+    corpus, queries = _vectors(spark, sf, "id"), _vectors(spark, sf, "query_id")
+    index = ivf.build_index(corpus, work_path(spark, "ivf"))
+    found = ivf.ivf_nearest(spark, index, queries, 10, probes=max(1, len(index.centroids) * 4 // 5)).select("query_id", "id")
+    exact = knn.nearest(queries, corpus, 10).select("query_id", "id", F.lit(1).alias("right"))
+    met = found.join(exact, ["query_id", "id"], "left")
+    return met.agg((F.count("right") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.count(F.lit(1)).alias("rows"))
 
 
 @query
