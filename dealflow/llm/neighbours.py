@@ -66,11 +66,11 @@ def search_block(ids, data, orders, query_ids, queries, query_orders, pivots: in
     order = np.argsort(ids, kind="stable")
     ids, data, orders = ids[order], data[order], orders[order]
     prefix = orders.shape[1]
-    place = np.full((len(ids), pivots), prefix, np.int16)
-    np.put_along_axis(place, orders, np.arange(prefix, dtype=np.int16)[None], 1)
-    files = [np.flatnonzero(place[:, p] < posted) for p in range(pivots)]
+    place = np.full((pivots, len(ids)), prefix, np.int16)
+    place[orders.T, np.arange(len(ids))] = np.arange(prefix, dtype=np.int16)[:, None]
+    files = [np.flatnonzero(p < posted) for p in place]
     most = max(int(np.ceil(share * len(ids))), 2 * nearest)
-    there = np.arange(prefix, dtype=np.int16)
+    there = np.arange(prefix, dtype=np.int16)[:, None]
     found = ([], [], [])
     for k, query in enumerate(query_ids):
         visited = np.zeros(len(ids), bool)
@@ -79,8 +79,12 @@ def search_block(ids, data, orders, query_ids, queries, query_orders, pivots: in
         visited &= ids != query
         rows = np.flatnonzero(visited)
         if len(rows) > most:
-            footrule = np.abs(place[np.ix_(rows, query_orders[k])] - there).sum(1, dtype=np.int16)
+            footrule = np.abs(place[query_orders[k]] - there).sum(0, dtype=np.int16)[rows]
             rows = np.sort(rows[np.argsort(footrule, kind="stable")[:most]])
+        if len(rows) > nearest:
+            rough = data[rows] @ queries[k]
+            rows = rows[rough >= np.partition(rough, -nearest)[-nearest] - 1e-9 * max(1.0, float(np.abs(rough).max()))]
+        # One way of adding up for all rows, so that equal vectors have equal scores.
         scores = np.einsum("ij,j->i", data[rows], queries[k])
         best = np.lexsort((ids[rows], -scores))[:nearest]
         found[0].append(np.full(len(best), query))
