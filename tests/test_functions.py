@@ -136,7 +136,8 @@ def test_block_pages(spark):
         spark, "<title>Access Denied</title> asking price", "<p>Solve the CAPTCHA</p>",
         "<p>captcha</p> Asking Price: 5", long + "captcha", "<p>fine</p>", None,
     )
-    assert values(df, text.is_block_page(F.col("v"))) == [True, True, False, False, False, False]
+    assert values(df, text.is_block_page(F.col("v"))) == [True, True, False, True, False, False]
+    assert values(df, text.is_block_page(F.col("v"), chars=12_000)) == [True, True, False, False, False, False]
 
 
 @pytest.mark.parametrize(

@@ -54,7 +54,7 @@ def test_nearest_equals_brute_force(spark, clustered, monkeypatch, below, way):
     if way == "cells":
         monkeypatch.setattr(knn, "BROADCAST_FLOATS", 16 * 10)
         monkeypatch.setattr(cells, "BLOCK_ROWS", 50)
-        monkeypatch.setattr(cells, "PIVOTS", 9)
+        monkeypatch.setattr(cells, "MOST_PIVOTS", 9)
     monkeypatch.setattr(knn, "BLOCK_FLOATS", 5000)
     got = knn.nearest(frame(spark, "query_id", queries), frame(spark, "id", clustered).repartition(5), 7, below)
     assert ("FlatMapCoGroups" in plan_of(got)) == (way == "cells")
@@ -222,10 +222,11 @@ def test_backfill(spark):
         out = embedding_backfill(df.coalesce(1), lengths, retry_wait=0.0, **more).orderBy("id").collect()
         return [r["description_embedding"] for r in out]
 
-    assert filled() == [[9.0], [9.0, 4.0], [0.0, 4.0], [3.0, 4.0], [8000.0, 4.0]]
-    assert filled(batch_rows=3) == [[9.0], [9.0, 3.0], [0.0, 3.0], [3.0, 3.0], [8000.0, 1.0]]
+    assert filled() == [[9.0], [9.0, 4.0], [0.0, 4.0], [3.0, 4.0], [9000.0, 4.0]]
+    assert filled(batch_rows=3) == [[9.0], [9.0, 3.0], [0.0, 3.0], [3.0, 3.0], [9000.0, 1.0]]
+    assert filled(chars=8000)[4] == [8000.0, 4.0]
     assert filled(limit=1) == [[9.0], [9.0, 1.0], None, None, None]
-    assert filled(skip_na=True) == [[9.0], [9.0, 2.0], None, None, [8000.0, 2.0]]
+    assert filled(skip_na=True) == [[9.0], [9.0, 2.0], None, None, [9000.0, 2.0]]
     assert "Exchange" not in plan_of(embedding_backfill(df, lengths))
 
 
