@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.llm import bloom
-from dealflow.session import materialise
+from dealflow.session import materialise, work_path
 
 BITS = 64
 SAME = 2  # blocks that a close pair shares at the first look
-HOT = 4096  # fingerprints in one block value from which longer blocks are used
+LONGEST = 8  # most blocks shared
+HOT = 4096  # nodes with one block value from which longer blocks are used
+ORDERS = [0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F]  # sorting by the exclusive or with each
 
 
 def block_masks(distance: int, same: int) -> list[int]:
@@ -39,31 +42,56 @@ def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def close_links(fps: DataFrame, column: str, distance: int, same: int = SAME, hot: int = HOT) -> DataFrame:
-    """Links ``a, b`` that connect exactly the distinct fingerprints of ``fps`` within ``distance`` bits of each other.
+def close_links(
+    nodes: DataFrame, distance: int, verify: Callable[[DataFrame], DataFrame] | None = None, same: int = SAME, hot: int = HOT
+) -> DataFrame:
+    """Links ``a, b`` that connect ``nodes(id, fp)`` exactly as all pairs within ``distance`` bits do.
 
-    Fingerprints meet in blocks. In each block all are compared with the smallest one; those close to it are
-    connected through it, so only the others are compared with the whole block. A group of close fingerprints thus
-    gives a star and not all its pairs, and no link that connects two groups is lost. Block values that over ``hot``
-    fingerprints share are left to longer blocks, which share more bits.
+    Without ``verify``, ids are the fingerprints themselves, each once. With it a pair also has to stay in what
+    ``verify`` returns of a table of pairs ``a, b``; then fingerprints may repeat.
+
+    Nodes meet in blocks, but a group of close ones is never expanded into its pairs. First every node is compared with
+    a few heads of its blocks, the smallest ids in as many orders; a dense group becomes connected by these stars.
+    Then only nodes that are still in different groups, but share a block, are compared with each other. In a block of
+    two the head is all there is to compare with. Block values of over ``hot`` nodes in different groups are left to
+    longer blocks, which share more bits.
     """
-    keyed = fps.select(F.col(column).alias("fp")).select("fp", F.explode(blocks(F.col("fp"), distance, same)).alias("block"))
-    heads = keyed.groupBy("block").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    plain = verify is None
+    check = verify or (lambda pairs: pairs)
+    rows = nodes.select("id", "fp", F.explode(F.array_distinct(blocks(F.col("fp"), distance, same))).alias("block"))
+    if plain:
+        first = [F.min(F.col("id").bitwiseXOR(F.lit(o))).alias(f"head{k}") for k, o in enumerate(ORDERS)]
+    else:
+        first = [F.min(F.struct(F.col("id").bitwiseXOR(F.lit(o)).alias("order"), "fp")).alias(f"head{k}") for k, o in enumerate(ORDERS)]
+    heads = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *first).where("n > 1")
     heads = materialise(heads, "blocks")
-    longest = distance + same + 2 > 12
-    usual = heads if longest else heads.where(F.col("n") <= hot)
-    some = bloom.screen(keyed, "block", heads, "block")
-    met = some.join(usual.drop("n"), "block").withColumn("near", bits_apart(F.col("fp"), F.col("head")) <= distance)
-    met = materialise(met, "met")
-    stars = met.where("near AND fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    left = met.where("NOT near").select("block", F.col("fp").alias("a"))
-    other = met.select(F.col("block").alias("block_b"), F.col("fp").alias("b"))
-    close = bits_apart(F.col("a"), F.col("b")) <= distance
-    rest = left.join(other, (F.col("block") == F.col("block_b")) & (F.col("a") != F.col("b")) & close).select("a", "b")
-    links = stars.unionByName(rest)
-    if not longest and not heads.where(F.col("n") > hot).isEmpty():
-        crowded = some.join(heads.where(F.col("n") > hot).select("block"), "block", "left_semi").select("fp").distinct()
-        links = links.unionByName(close_links(materialise(crowded, "crowded"), "fp", distance, same + 2, hot))
+    met = materialise(bloom.screen(rows, "block", heads, "block").join(heads, "block"), "met")
+
+    def head(k: int) -> Column:
+        value, order = F.col(f"head{k}"), F.lit(ORDERS[k])
+        if plain:
+            return F.struct(value.bitwiseXOR(order).alias("b"), value.bitwiseXOR(order).alias("fp_b"))
+        return F.struct(value["order"].bitwiseXOR(order).alias("b"), value["fp"].alias("fp_b"))
+
+    tried = met.select("id", "fp", F.explode(F.array_distinct(F.array(*[head(k) for k in range(len(ORDERS))]))).alias("h"))
+    tried = tried.where((F.col("id") != F.col("h.b")) & (bits_apart(F.col("fp"), F.col("h.fp_b")) <= distance))
+    stars = materialise(check(tried.select(F.col("id").alias("a"), F.col("h.b").alias("b")).distinct()), "stars")
+
+    several = met.where("n > 2").select("id", "fp", "block", "n")
+    roots = components(stars).withColumnRenamed("node", "id")
+    several = several.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = materialise(several, "labelled")
+    mixed = several.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+    several = materialise(several.join(mixed, "block", "left_semi"), "mixed")
+    usual = several if same >= LONGEST else several.where(F.col("n") <= hot)
+    one = usual.select("block", F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
+    two = usual.select(F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    across = (F.col("block") == F.col("block_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    rest = one.join(two, across & (bits_apart(F.col("fp_a"), F.col("fp_b")) <= distance)).select("a", "b").distinct()
+    links = stars.unionByName(check(rest))
+    if same < LONGEST and not several.where(F.col("n") > hot).isEmpty():
+        crowded = materialise(several.where(F.col("n") > hot).select("id", "fp").distinct(), "crowded")
+        links = links.unionByName(close_links(crowded, distance, verify, same + 2, hot))
     return links
 
 
@@ -75,7 +103,7 @@ def components(links: DataFrame) -> DataFrame:
     two sums decide whether it changed anything. Links with a null end or to the node itself are ignored.
     """
     ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    edges = materialise(links.where("a <> b").select(*ends).distinct(), "edges")
+    edges, path = _stored(links.where("a <> b").select(*ends).distinct())
     before = None
     while (now := _signature(edges)) != before:
         before = now
@@ -84,14 +112,29 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = materialise(large, "large")
+        large, large_path = _stored(large)
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialise(small.unionByName(lowest.withColumnRenamed("low", "b")).distinct(), "edges")
+        last = path
+        edges, path = _stored(small.unionByName(lowest.withColumnRenamed("low", "b")).distinct())
+        for done in (last, large_path):
+            _remove(edges.sparkSession, done)
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, str]:
+    """The edges in a table of their own, and its path, which goes when the next round is stored."""
+    path = work_path(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def _signature(edges: DataFrame) -> tuple:
     code = F.xxhash64("a", "b")
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(code.cast("decimal(38,0)")), F.bit_xor(code)).first())

@@ -144,17 +144,26 @@ def cascade(rules: list[Rule], text: Column, m: Column) -> Column:
     return found
 
 
+def _judged(docs: DataFrame, keep: list[str], rules: list[Rule] | None) -> DataFrame:
+    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    ordered = order_rules(rows.select("_text"), RULES if rules is None else rules)
+    rows = rows.withColumn("_m", measures(F.col("_text")))
+    return rows.withColumn("_by", cascade(ordered, F.col("_text"), F.col("_m")))
+
+
+def good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs(text, ...)`` that no rule rejects, with their columns."""
+    kept = _judged(docs, docs.columns, rules).where("_by IS NULL")
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def judge(docs: DataFrame, keep: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs(text, ...)`` with the measures, ``base_failed``, ``kept`` and ``rejected_by``.
 
     ``rejected_by`` names one failing rule; which one, if there are several, depends on the order that the sample
     gave, ``kept`` does not. A null or empty text has no word and fails; every row is judged by itself.
     """
-    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
-    ordered = order_rules(rows.select("_text"), RULES if rules is None else rules)
-    rows = rows.withColumn("_m", measures(F.col("_text")))
-    judged = rows.withColumn("_by", cascade(ordered, F.col("_text"), F.col("_m")))
-    return judged.select(
+    return _judged(docs, keep, rules).select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
         "_m.*",
         base_failed(F.col("_m")).alias("base_failed"),

@@ -64,7 +64,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     """
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    links = close_links(distinct.select("fp"), "fp", distance)
+    links = close_links(distinct.select(F.col("fp").alias("id"), "fp"), distance)
     roots = components(links).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"), (F.count("*") - 1).alias("links"))

@@ -79,7 +79,7 @@ def kept(text: str | None) -> bool:
     )
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -88,33 +88,33 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def normalise(line: str) -> str:
+def normalise(line: str) -> tuple[str, ...]:
     import regex
 
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+    return tuple(regex.findall(r"[\p{L}\p{N}]+", line.lower()))
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def repeated_lines(docs: list[tuple], distance: int = 3, least: float = 0.8) -> set[tuple]:
+def repeated_lines(docs: list[tuple], distance: int = 2, least: float = 0.8) -> set[tuple]:
     """(doc_id, text, line number) of the lines that another one stands for."""
-    at: dict[str, list] = {}
+    at: dict[tuple, list] = {}
     for doc_id, text in docs:
         if text is not None:
             code = _signed(xxhash.xxh64_intdigest(text.encode(), 42))
             for n, line in enumerate(text.split("\n")):
                 if norm := normalise(line):
                     at.setdefault(norm, []).append(((doc_id is not None, doc_id, code, n), (doc_id, text, n)))
-    prints = {x: simhash([xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(x.split(" "))]) for x in at}
+    prints = {x: simhash([xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(x)]) for x in at}
     links = []
     for a, b in combinations(sorted(at), 2):
         longer = max(len(a), len(b))
         if (prints[a] ^ prints[b]).bit_count() <= distance and edit_distance(a, b) <= int(longer * (1 - least) + 1e-9):
             links.append((a, b))
     root = groups(list(at), links)
-    members: dict[str, list] = {}
+    members: dict[tuple, list] = {}
     for norm, places in at.items():
         members.setdefault(root[norm], []).extend(places)
     gone = set()

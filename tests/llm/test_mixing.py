@@ -55,7 +55,7 @@ def test_the_mix_itself_has_the_words_that_are_taken(spark):
         want[r["doc_id"]] += r["taken"]
     for r in mixed.collect():
         words = r["text"].split()
-        assert words == next(t for i, t, _ in docs if i == r["doc_id"] and t).split()[: len(words)]
+        assert any(words == t.split()[: len(words)] for i, t, _ in docs if i == r["doc_id"] and t)
         got[r["doc_id"]] += len(words)
     assert got == +want
 
