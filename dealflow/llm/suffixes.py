@@ -6,7 +6,7 @@ Each window of ``SPAN`` bytes is known by its anchor: the place in it whose ``GR
 leftmost of equal ones. Equal windows have equal anchors at equal offsets, so windows only need to be compared within
 the groups of equal anchors, and only anchors found twice are looked at. Neighbouring windows of one anchor are kept
 together as a snippet, the bytes they cover; equal snippets become one with a count. Snippets of different text under
-the same anchor are indexed: shards of them get their suffix order and Burrows-Wheeler transform, and the transforms
+the same anchor are cut to the windows near each other and are indexed: shards of them get their suffix order and Burrows-Wheeler transform, and the transforms
 are merged by refining how their rows interleave, a symbol at a time, without sorting the suffixes again. The
 refinement also gives the rows that have a common prefix of ``SPAN`` bytes, which are the repeated strings.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,9 @@ GRAM = 50  # bytes whose hash makes an anchor
 PIECE = 1 << 19  # windows of a text that are looked at together; places within fit 20 bits
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
 FILTER_WORDS = 1 << 21  # 16 MB: most that tasks hold of the filter of repeated anchors
-BATCH_BYTES = 4 << 20  # snippets indexed by one task call
-SHARD_BYTES = 1 << 20  # snippets of one transform
-HOT_BYTES = 2 << 20  # different snippets of one anchor beyond which its windows are compared by their hashes
+PART = 12  # windows of a snippet that are indexed together
+BATCH_BYTES = 32 << 10  # snippets indexed together: small enough for the caches of a core
+HOT_BYTES = 512 << 10  # different snippets of one key beyond which their windows are compared by their hashes
 
 
 @functools.cache
@@ -70,8 +71,8 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:count], forward[width - 1 : width - 1 + count])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: hash of the anchor, first window, number of windows."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: hash of the anchor, first window, number of windows, place behind the first."""
     data = np.frombuffer(text, np.uint8)
     found: list[tuple] = []
     places = np.uint64((1 << 20) - 1)
@@ -81,9 +82,9 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keyed = (hashes & ~places) | np.arange(len(hashes), dtype=np.uint64)
         at = (_window_minima(keyed, SPAN - GRAM + 1) & places).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        found.append((hashes[at[first]].view(np.int64), first + start, np.diff(np.append(first, len(at)))))
+        found.append((hashes[at[first]].view(np.int64), first + start, np.diff(np.append(first, len(at))), at[first] - first))
     if not found:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
@@ -118,24 +119,26 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def snippets(docs: DataFrame) -> DataFrame:
-    """The snippets of repeated anchors, stored: ``doc_id, text_hash, start, windows, anchor, code, snippet``.
+    """The snippets of repeated anchors, stored: ``doc_id, text_hash, start, windows, ahead, anchor, code, snippet``.
 
-    ``start`` is the first window in the text, ``code`` a hash of the bytes; with the anchor it tells snippets apart.
+    ``start`` is the first window in the text, ``ahead`` the anchor's place behind it and ``code`` a hash of the bytes;
+    with the anchor it tells snippets apart.
     """
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(_repeated_anchors(docs)))
 
     def step(batch: pa.RecordBatch) -> dict:
         bits = held.value
-        rows: dict[str, list] = {"row": [], "start": [], "windows": [], "anchor": [], "code": [], "snippet": []}
+        rows: dict[str, list] = {k: [] for k in ("row", "start", "windows", "ahead", "anchor", "code", "snippet")}
         for row, text in enumerate(batch["text"]):
             data = text.as_py().encode()
-            anchor, first, windows = anchors(data)
+            anchor, first, windows, ahead = anchors(data)
             word = bits[(anchor >> 6) & (len(bits) - 1)]
             known = np.flatnonzero((word >> (anchor & 63)) & 1)
             cut = [data[a : a + n + SPAN - 1] for a, n in zip(first[known].tolist(), windows[known].tolist(), strict=True)]
             rows["row"].append(np.full(len(known), row, np.int64))
             rows["start"].append(first[known])
             rows["windows"].append(windows[known])
+            rows["ahead"].append(ahead[known])
             rows["anchor"].append(anchor[known])
             rows["code"].append(np.fromiter(map(xxhash.xxh64_intdigest, cut), np.uint64, len(cut)).view(np.int64))
             rows["snippet"].extend(cut)
@@ -143,12 +146,12 @@ def snippets(docs: DataFrame) -> DataFrame:
         return {
             "doc_id": batch["doc_id"].take(at),
             "text_hash": batch["text_hash"].take(at),
-            **{k: np.concatenate(rows[k]).astype(np.int64) for k in ("start", "windows", "anchor", "code")},
+            **{k: np.concatenate(rows[k]).astype(np.int64) for k in ("start", "windows", "ahead", "anchor", "code")},
             "snippet": pa.array(rows["snippet"], pa.binary()),
         }
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text_hash long, start long, windows long, anchor long, code long, snippet binary"
+    schema = f"doc_id {kind}, text_hash long, start long, windows long, ahead long, anchor long, code long, snippet binary"
     return materialise(arrow_map(_texts(docs), schema, step), "snippets")
 
 
@@ -189,26 +192,31 @@ def merge_transforms(transforms: list[np.ndarray], terminators: list[int], depth
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), terminators)
     prefix = np.zeros(len(symbols), np.int32)
-    row = np.empty_like(symbols)
+    row, fresh = np.empty_like(symbols), np.empty(len(symbols), bool)
     for _ in range(depth):
-        row[np.argsort(source, kind="stable")] = symbols
+        for k, transform in enumerate(transforms):
+            row[source == k] = transform
         order = np.argsort(row, kind="stable")
         deeper, behind, symbol = source[order], prefix[order], row[order]
         deeper[: len(ends)] = ends
-        fresh = np.append(True, (symbol[1:] != symbol[:-1]) | (behind[1:] != behind[:-1]))
+        np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
+        fresh[1:] |= behind[1:] != behind[:-1]
         fresh[: len(ends) + 1] = True
-        longer = np.cumsum(fresh, dtype=np.int32) - 1
-        same = np.array_equal(longer, prefix) and np.array_equal(deeper, source)
+        longer = np.cumsum(fresh, dtype=np.int32)
+        same = longer[-1] == prefix[-1] and np.array_equal(longer, prefix) and np.array_equal(deeper, source)
         source, prefix = deeper, longer
         if same:
             break
     return source, np.append(True, prefix[1:] != prefix[:-1])
 
 
-def repeated_windows(strings: list[bytes], span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string the starts of its windows of ``span`` bytes that some string holds elsewhere too."""
+def repeated_windows(strings: list[bytes], span: int = SPAN, shard_bytes: int | None = None) -> list[np.ndarray]:
+    """For each string the starts of its windows of ``span`` bytes that some string holds elsewhere too.
+
+    Strings go to shards of ``shard_bytes``, by default to two shards.
+    """
     shards, size = [[]], 0
-    most = min(shard_bytes, sum(map(len, strings)) // 2 + 1)
+    most = shard_bytes or sum(map(len, strings)) // 2 + 1
     for k, text in enumerate(strings):
         if size and size + len(text) > most and len(shards) < 255:
             shards.append([])
@@ -228,77 +236,134 @@ def repeated_windows(strings: list[bytes], span: int = SPAN, shard_bytes: int =
 
 
 def _indexed(texts: DataFrame) -> DataFrame:
-    """``anchor, code, found`` of ``texts(anchor, code, snippet)`` by merged transforms; anchors share no task's index."""
+    """``key, code, found`` of ``texts(key, code, snippet)`` by merged transforms; no key is in two tasks' indexes."""
     total = texts.agg(F.coalesce(F.sum(F.octet_length("snippet").cast("long")), F.lit(0))).first()[0]
     batches = max(1, -(-total // BATCH_BYTES))
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows(rows["snippet"].tolist())
-        return pd.DataFrame({"anchor": rows["anchor"], "code": rows["code"], "found": [f.astype(np.int32) for f in found]})
+        return pd.DataFrame({"key": rows["key"], "code": rows["code"], "found": [f.astype(np.int32) for f in found]})
 
-    batch = F.pmod(F.xxhash64("anchor"), F.lit(batches))
-    return texts.groupBy(batch.alias("batch")).applyInPandas(index, "anchor long, code long, found array<int>")
+    batch = F.pmod(F.xxhash64("key"), F.lit(batches))
+    return texts.groupBy(batch.alias("batch")).applyInPandas(index, "key long, code long, found array<int>")
 
 
 def _compared(texts: DataFrame) -> DataFrame:
-    """The same for anchors with very many different snippets: windows are dealt by a hash of their bytes."""
+    """The same for keys with very many different snippets: windows are dealt by a hash of their bytes."""
     at = F.sequence(F.lit(0), F.octet_length("snippet") - SPAN)
-    windows = texts.select("anchor", "code", "snippet", F.explode(at).alias("at"))
-    windows = windows.select("anchor", "code", "at", F.md5(F.substring("snippet", F.col("at") + 1, SPAN)).alias("window"))
+    windows = texts.select("key", "code", "snippet", F.explode(at).alias("at"))
+    windows = windows.select("key", "code", "at", F.md5(F.substring("snippet", F.col("at") + 1, SPAN)).alias("window"))
     windows = materialise(windows, "windows")
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    return windows.join(twice, "window").groupBy("anchor", "code").agg(F.sort_array(F.collect_list("at")).alias("found"))
+    return windows.join(twice, "window").groupBy("key", "code").agg(F.sort_array(F.collect_list("at")).alias("found"))
+
+
+def _parts(texts: DataFrame, with_text: bool) -> DataFrame:
+    """Snippets cut to runs of at most ``PART`` windows: ``owner, owner_code, first, windows, key, code`` and ``snippet``.
+
+    Cuts lie at fixed distances from the anchor, and the key is a hash of the bytes that all windows there may be have in
+    common. Equal windows so keep equal keys, and far fewer different snippets share one.
+    """
+
+    def step(batch: pa.RecordBatch) -> dict:
+        rows: dict[str, list] = {k: [] for k in ("row", "first", "windows", "key", "code", "snippet")}
+        digest = xxhash.xxh64_intdigest
+        for row, (text, ahead) in enumerate(zip(batch["snippet"].to_pylist(), batch["ahead"].to_pylist(), strict=True)):
+            first, count = 0, len(text) - SPAN + 1
+            while first < count:
+                core = ahead - (ahead - first) // PART * PART  # the last window of the part that may be there
+                end = min(count, core + 1)
+                piece = text[first : end + SPAN - 1]
+                rows["row"].append(row)
+                rows["first"].append(first)
+                rows["windows"].append(end - first)
+                rows["key"].append(digest(text[core : core + SPAN - PART + 1]))
+                rows["code"].append(digest(piece))
+                rows["snippet"].append(piece)
+                first = end
+        at = pa.array(rows["row"], pa.int64())
+        out = {"owner": batch["key"].take(at), "owner_code": batch["code"].take(at)}
+        out |= {k: pa.array(rows[k], pa.int64()) for k in ("first", "windows")}
+        out |= {k: np.array(rows[k], np.uint64).view(np.int64) for k in ("key", "code")}
+        return out | ({"snippet": pa.array(rows["snippet"], pa.binary())} if with_text else {})
+
+    schema = "owner long, owner_code long, first long, windows long, key long, code long" + ", snippet binary" * with_text
+    return arrow_map(texts.select("key", "code", "ahead", "snippet"), schema, step)
+
+
+def _found(rows: DataFrame, texts: DataFrame, look: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The repeated windows of ``rows(key, code)``: ``key, code, found``, a null meaning all of them.
+
+    Equal snippets are one with a count; all windows of one that occurs twice are repeated. ``look`` finds them among
+    the snippets that share their key with different ones. It gets those of ``texts(key, code, snippet, ...)``, whose
+    other columns are equal for equal snippets, and the number of kinds per key.
+    """
+    counts = materialise(rows.groupBy("key", "code").agg(F.count(F.lit(1)).alias("n")), "counts")
+    kinds = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = materialise(kinds, "kinds")
+    some = bloom.screen(texts, "key", kinds, "key").distinct()
+    mixed = materialise(some.join(kinds, "key"), "mixed")
+    once = counts.where("n = 1").select("key", "code")
+    partly = look(mixed).where(F.size("found") > 0).join(once, ["key", "code"])
+    wholly = counts.where("n > 1").select("key", "code", F.lit(None).cast("array<int>").alias("found"))
+    return wholly.unionByName(materialise(partly.select("key", "code", "found"), "partly"))
+
+
+def _by_index(texts: DataFrame) -> DataFrame:
+    usual = F.col("kinds") * (2 * SPAN) <= HOT_BYTES
+    found = _indexed(texts.where(usual).select("key", "code", "snippet"))
+    if texts.where(~usual).isEmpty():
+        return found
+    return found.unionByName(_compared(texts.where(~usual).select("key", "code", "snippet")))
+
+
+def _by_parts(texts: DataFrame) -> DataFrame:
+    parts = materialise(_parts(texts, False), "parts")
+    known = _found(parts, _parts(texts, True).select("key", "code", "snippet"), _by_index)
+    met = parts.join(known, ["key", "code"])
+    every = F.sequence(F.lit(0), (F.col("windows") - 1).cast("int"))
+    starts = F.transform(F.coalesce("found", every), lambda x: (x + F.col("first")).cast("int"))
+    runs = met.select(F.col("owner").alias("key"), F.col("owner_code").alias("code"), starts.alias("starts"))
+    return runs.groupBy("key", "code").agg(F.flatten(F.collect_list("starts")).alias("found"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, spans``: for each text with repeated strings, runs of window starts ``(first, last)``.
 
-    All windows of a snippet that occurs twice are repeated. Of the others, those are that a different snippet of the
-    same anchor holds too. Runs may touch or overlap.
+    Runs may touch or overlap.
     """
-    every = snippets(docs)
-    counts = materialise(every.groupBy("anchor", "code").agg(F.count(F.lit(1)).alias("n")), "snippet-counts")
-    mixed = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", "kinds")
-    mixed = materialise(mixed, "mixed-anchors")
-    texts = bloom.screen(every.select("anchor", "code", "snippet"), "anchor", mixed, "anchor")
-    texts = texts.groupBy("anchor", "code", "snippet").agg(F.count(F.lit(1)).alias("n")).join(mixed, "anchor")
-    texts = materialise(texts, "mixed-texts")
-    usual = F.col("kinds") * (2 * SPAN) <= HOT_BYTES
-    found = _indexed(texts.where(usual).select("anchor", "code", "snippet"))
-    if not texts.where(~usual).isEmpty():
-        found = found.unionByName(_compared(texts.where(~usual).select("anchor", "code", "snippet")))
-    once = counts.where("n = 1").select("anchor", "code")
-    partly = materialise(found.where(F.size("found") > 0).join(once, ["anchor", "code"]), "partly")
-    wholly = counts.where("n > 1").select("anchor", "code", F.lit(None).cast("array<int>").alias("found"))
-    known = wholly.unionByName(partly.select("anchor", "code", "found"))
-    met = every.drop("snippet").join(known, ["anchor", "code"])
+    every = snippets(docs).withColumnRenamed("anchor", "key")
+    known = _found(every, every.select("key", "code", "ahead", "snippet"), _by_parts)
+    met = every.drop("snippet").join(known, ["key", "code"])
     whole = F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last")))
     single = F.transform("found", lambda x: F.struct((F.col("start") + x).alias("first"), (F.col("start") + x).alias("last")))
     runs = met.select("doc_id", "text_hash", F.when(F.col("found").isNull(), whole).otherwise(single).alias("runs"))
     return runs.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
-def _covered(size: int, spans: list[dict]) -> np.ndarray:
-    """A mask of the bytes that lie in a repeated window."""
-    change = np.zeros(size + 1, np.int64)
-    if spans:
-        first = np.array([s["first"] for s in spans], np.int64)
-        last = np.array([s["last"] for s in spans], np.int64)
-        np.add.at(change, first, 1)
-        np.add.at(change, np.minimum(last + SPAN, size), -1)
-    return np.cumsum(change[:-1]) > 0
+def _covered(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A mask of the bytes that lie in a repeated window, from runs of window starts."""
+    change = np.bincount(first, minlength=size + 1) - np.bincount(np.minimum(last + SPAN, size), minlength=size + 1)
+    return np.cumsum(change[:size]) > 0
 
 
 def _report(rows: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
+        spans, cuts = batch["spans"].flatten(), batch["spans"].offsets.to_numpy()
+        first, last = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("first", "last"))
+        cuts = (cuts - cuts[0]).tolist()
+        for text, a, b in zip(batch["text"], cuts, cuts[1:], strict=False):
             data = (text.as_py() or "").encode()
-            gone = _covered(len(data), spans.as_py())
+            removed = runs = 0
+            if a < b:
+                gone = _covered(len(data), first[a:b], last[a:b])
+                removed, runs = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             out["n_bytes"].append(len(data))
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0)
-            out["kept_sha256"].append(hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+            out["n_removed"].append(removed)
+            out["n_spans"].append(runs)
+            out["kept_sha256"].append(hashlib.sha256(kept if removed else data).hexdigest())
         kinds = {"kept_sha256": pa.string()}
         return {"doc_id": batch["doc_id"]} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
 
