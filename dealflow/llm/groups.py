@@ -63,9 +63,12 @@ def close_links(
         first = [F.min(F.col("id").bitwiseXOR(F.lit(o))).alias(f"head{k}") for k, o in enumerate(ORDERS)]
     else:
         first = [F.min(F.struct(F.col("id").bitwiseXOR(F.lit(o)).alias("order"), "fp")).alias(f"head{k}") for k, o in enumerate(ORDERS)]
-    heads = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *first).where("n > 1")
-    heads = materialise(heads, "blocks")
-    met = materialise(bloom.screen(rows, "block", heads, "block").join(heads, "block"), "met")
+    # Most nodes are alone in their blocks: those are left out before anything wider is shuffled.
+    shared = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
+    shared = materialise(shared, "blocks")
+    some = materialise(bloom.screen(rows, "block", shared, "block"), "some")
+    heads = some.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *first).where("n > 1")
+    met = materialise(some.join(heads, "block"), "met")
 
     def head(k: int) -> Column:
         value, order = F.col(f"head{k}"), F.lit(ORDERS[k])
