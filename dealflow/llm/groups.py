@@ -98,6 +98,36 @@ def close_links(
     return links
 
 
+def block_links(rows: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], hot: int = HOT) -> DataFrame:
+    """Links ``a, b`` that connect the ids of ``rows(id, block)`` exactly as all verified pairs that share a block do.
+
+    ``verifier`` takes the ids that share a block (``id``, stored, each once) and returns the step that keeps the pairs
+    ``a, b`` that are linked. As in ``close_links`` all are compared with heads first, then only ids that are still in
+    different groups. The pairs of a block with over ``hot`` of these are spread over many tasks.
+    """
+    shared = materialise(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "blocks")
+    some = materialise(bloom.screen(rows, "block", shared, "block"), "some")
+    first = [F.min(F.col("id").bitwiseXOR(F.lit(o))).alias(f"head{k}") for k, o in enumerate(ORDERS)]
+    heads = some.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *first).where("n > 1")
+    met = materialise(some.join(heads, "block"), "met")
+    check = verifier(materialise(met.select("id").distinct(), "met-ids"))
+    tried = F.array_distinct(F.array(*[F.col(f"head{k}").bitwiseXOR(F.lit(o)) for k, o in enumerate(ORDERS)]))
+    tried = met.select("id", F.explode(tried).alias("head")).where("id <> head")
+    tried = tried.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    stars = materialise(check(tried), "stars")
+
+    roots = components(stars).withColumnRenamed("node", "id")
+    several = met.where("n > 2").select("id", "block").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = materialise(several, "labelled")
+    mixed = several.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("low <> high").select("block", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    several = materialise(several.join(mixed, "block"), "mixed")
+    one = several.select("block", F.col("id").alias("a"), F.col("root").alias("root_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    two = several.select("block", F.col("id").alias("b"), F.col("root").alias("root_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = one.join(two, ["block", "part"]).where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    return stars.unionByName(check(rest))
+
+
 def components(links: DataFrame) -> DataFrame:
     """The connected groups of ``links(a, b)``: ``node, root`` for every linked node, the smallest node being the root.
 

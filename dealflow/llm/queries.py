@@ -85,7 +85,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(table(spark, sf_dir, "documents"), lines.WIDE, links=lines.edit_links)
 
 
 _W = r"[\x20\x09-\x0D]"
