@@ -3,7 +3,8 @@
 Every source's documents are put in a shuffled order and cut into blocks of equal words. The mix is a row of slots;
 slot ``i`` belongs to the source in whose share of the cumulated targets the golden-ratio point ``frac(i * phi)``
 falls, and the slots of a source, ranked, take its blocks in turn, from the first again after the last. The points are
-so even that after any number of slots each source has its share but for a few blocks.
+so even that after any number of slots each source has its share but for a few blocks. A source of few
+blocks, for which these are much, ends exactly at its target instead.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ MOST_REPEATS = 3
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 4096
 LEAST_SLOTS = 100_000  # small inputs get smaller blocks
+EXACT_BLOCKS = 1000  # sources of fewer blocks are taken by words, not by slots
 CELLS = 4096
 CHUNK = 1 << 16  # slots ranked together
 BUCKET_ROWS = 20_000  # documents put in order together, about
@@ -112,6 +114,16 @@ def fragments(placed: DataFrame, block: int) -> DataFrame:
     return cut.select("place", "start", "block", (end - F.greatest(F.col("start"), F.col("block") * block)).alias("words"))
 
 
+def exact_copies(placed: DataFrame) -> DataFrame:
+    """``place, start, copies`` of documents whose source is taken up to its target, rounded to words.
+
+    Whole rounds come first; the last one ends within the shuffled documents.
+    """
+    left = F.round("target").cast("long") - F.col("start")
+    rounds = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("source_size") * k)) for k in range(MOST_REPEATS)]
+    return placed.where("size > 0").select("place", "start", F.array(*rounds).alias("copies"))
+
+
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Mix ``docs(doc_id, text, source)``: the columns ``keep`` (``doc_id``) and ``size, source_size, target, taken``.
 
@@ -130,7 +142,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     slots = schedule(targets, total, block)
     times = slots.groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
     repeats = [F.sum(F.when(F.col("times") > k, F.col("words")).otherwise(F.lit(0))) for k in range(MOST_REPEATS)]
-    taken = fragments(placed, block).join(times, ["place", "block"]).groupBy("place", "start").agg(F.array(*repeats).alias("copies"))
+    few = F.col("source_size") < EXACT_BLOCKS * block
+    taken = fragments(placed.where(~few), block).join(times, ["place", "block"]).groupBy("place", "start").agg(F.array(*repeats).alias("copies"))
+    taken = taken.unionByName(exact_copies(placed.where(few)))
     filled = placed.where("size > 0").join(taken, ["place", "start"], "left")
     none = F.array(*[F.lit(0).cast("long")] * MOST_REPEATS)
     empty = placed.where("size = 0").withColumn("copies", none)
