@@ -151,7 +151,7 @@ def components(links: DataFrame) -> DataFrame:
         last = path
         edges, path = _stored(small.unionByName(lowest.withColumnRenamed("low", "b")).distinct())
         for done in (last, large_path):
-            _remove(edges.sparkSession, done)
+            remove(edges.sparkSession, done)
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -163,7 +163,7 @@ def _stored(edges: DataFrame) -> tuple[DataFrame, str]:
     return edges.sparkSession.read.schema(edges.schema).parquet(path), path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import language, lines, mixing, neighbours, packing, quality, simhash, suffixes, urls, warc
+from dealflow.llm import (
+    language, lines, mixing, neighbours, packing, quality, sharding, simhash, spelling, suffixes, urls, warc, whitening,
+)
 from dealflow.llm.common import table
 
 QUERIES = {}
@@ -88,6 +90,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"), lines.WIDE, links=lines.edit_links)
 
 
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 _W = r"[\x20\x09-\x0D]"
 
 ORACLE["op3_quality"] = rf"""
