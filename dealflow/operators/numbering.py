@@ -33,7 +33,7 @@ def number_rows(df: DataFrame, column: str) -> DataFrame:
     placed = stored.withColumn(_PART, F.shiftright(_POSITION, 33))
     keys = [*origin, _PART, _BLOCK]
     blocks = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(_POSITION).alias("_first"))
-    starts = _running_starts(blocks, keys).select(_PART, _BLOCK, (F.col("_before") - F.col("_first")).alias("_offset"))
+    starts = running_starts(blocks, keys).select(_PART, _BLOCK, (F.col("_before") - F.col("_first")).alias("_offset"))
     return (
         placed.join(starts, [_PART, _BLOCK])
         .withColumn(column, F.col("_offset") + F.col(_POSITION))
@@ -41,7 +41,7 @@ def number_rows(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _running_starts(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def running_starts(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``_before``, the rows of all earlier blocks. Blocks are added up within ranges of the order, then the
     ranges themselves, of which there are no more than shuffle partitions."""
     ranged = materialise(blocks.repartitionByRange(*keys).withColumn(_RANGE, F.spark_partition_id()), "blocks")

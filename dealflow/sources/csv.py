@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +9,8 @@ from dealflow.functions.text import is_auction_url, strip_space
 from dealflow.operators.numbering import ORIGIN, number_rows, with_origin
 from dealflow.operators.upsert import normalise_records
 from dealflow.schema import COLLECTOR_COLUMNS
+from dealflow.session import materialise
+from dealflow.sources.records import cells, read_records, read_table
 
 
 def map_columns(df: DataFrame) -> DataFrame:
@@ -26,18 +24,23 @@ def map_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def read_listing_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Records of listing files with a header row, as text.
+def read_listing_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Records of listing files with a header row, as text, with ``seq``, their 0-based position (by file name, then row).
 
-    Large files are split by line. Pass ``multi_line=True`` for files whose cells hold line breaks; each is then one
-    task. Bytes that are not UTF-8 become the replacement character.
+    Cells may hold line breaks, and one large file is read by many tasks; see ``sources.records``. Pass
+    ``line_breaks=False`` for files known to have none: they are read once and split by line, and ``numbered_records``
+    numbers them. Bytes that are not UTF-8 become the replacement character.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False, encoding="UTF-8")
+    if line_breaks:
+        return read_table(spark, path, COLLECTOR_COLUMNS)
+    raw = spark.read.csv(path, header=True, multiLine=False, escape='"', inferSchema=False, encoding="UTF-8")
     return map_columns(with_origin(raw))
 
 
 def numbered_records(records: DataFrame) -> DataFrame:
     """Normalised records with ``seq``, their 0-based position (by file name, then row); stored once for later steps."""
+    if "seq" in records.columns:
+        return materialise(normalise_records(records), "records")
     return number_rows(normalise_records(records), "seq")
 
 
@@ -75,20 +78,9 @@ def listing_urls(rows: DataFrame, domain: str, cells: str = "cells", order: str
     return found.groupBy("url").agg(F.min("seq").alias("seq"))
 
 
-def read_url_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_url_rows(spark: SparkSession, path: str) -> DataFrame:
     """Cells of every record of header-less CSV files of any width, numbered: ``cells array<string>, seq``.
 
-    Large files are split by line. With ``multi_line=True`` quoted cells may hold line breaks, and a file, of at most
-    2 GB, is one task.
+    Quoted cells may hold line breaks, and one large file is read by many tasks.
     """
-    if multi_line:
-        content = F.make_valid_utf8(F.col("content").cast("string"))
-        found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), content.alias("text"))
-    else:
-        found = with_origin(spark.read.text(path).withColumnRenamed("value", "text"))
-
-    @F.pandas_udf("array<array<string>>")
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: list(csv.reader(io.StringIO(text, newline=""))))
-
-    return number_rows(found.withColumn("cells", F.explode(parse("text"))).drop("text"), "seq")
+    return read_records(spark, path).select(cells("text").alias("cells"), "seq")

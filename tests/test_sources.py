@@ -62,28 +62,29 @@ def test_csv_round_trip(spark, tmp_path):
     files.write_listing_csv(rows, str(tmp_path / "out"))
     files.write_listing_csv(records(spark, {"title": " kept "}), str(tmp_path / "blanks"))
     assert files.read_listing_csv(spark, str(tmp_path / "blanks")).first()["title"] == " kept "
-    back = files.read_listing_csv(spark, str(tmp_path / "out"), multi_line=True).collect()
+    back = files.read_listing_csv(spark, str(tmp_path / "out")).collect()
     assert {r["description"] for r in back} == {"two\nlines, one cell", "N/A"}
     assert 'He said "hi"' in {r["title"] for r in back}
+    lines = files.read_listing_csv(spark, str(tmp_path / "blanks"), line_breaks=False)
+    assert files.numbered_records(lines).first()["title"] == "kept"
 
 
 def test_csv_oddities(spark, tmp_path):
     text = b'Title,URL,Other,Price\n"A ""x"", y",https://e.com/1,z, 0 \n\nshort,https://e.com/2\n"two\nlines",https://e.com/3,o,$5,more\nbad\xff,https://e.com/4,o,n/a\n'
     (tmp_path / "f.csv").write_bytes(text)
-    rows = files.numbered_records(files.read_listing_csv(spark, str(tmp_path / "f.csv"), multi_line=True)).orderBy("seq").collect()
+    rows = files.numbered_records(files.read_listing_csv(spark, str(tmp_path / "f.csv"))).orderBy("seq").collect()
     assert [r["seq"] for r in rows] == [0, 1, 2, 3]
     assert [r["title"] for r in rows] == ['A "x", y', "short", "two\nlines", "bad�"]
     assert [r["price"] for r in rows] == ["N/A", "N/A", "$5", "N/A"]
     assert {r["city"] for r in rows} == {"N/A"} and "Other" not in rows[0]
 
 
-@pytest.mark.parametrize("multi_line", [True, False])
-def test_url_lists(spark, tmp_path, multi_line):
+def test_url_lists(spark, tmp_path):
     (tmp_path / "u.csv").write_text(
         "name\nx, https://site.com/1 ,https://site.com/2\nhttps://other.com/1,y,z,w,https://site.com/3\n"
         "https://site.com/1\nhttp://www.site.com/Business-Auction/9\nsite.com/4\n"
     )
-    rows = files.read_url_rows(spark, str(tmp_path / "u.csv"), multi_line)
+    rows = files.read_url_rows(spark, str(tmp_path / "u.csv"))
     found = files.listing_urls(rows, "site.com").orderBy("seq").collect()
     assert [tuple(r) for r in found] == [("https://site.com/1", 1), ("https://site.com/3", 2)]
 
