@@ -168,6 +168,8 @@ def triangle(fit: DataFrame, n: int, sums: list[int]) -> np.ndarray:
     """
     width = len(sums)
     squares = summed(fit, (width,), lambda x: (centred(x, n, sums) ** 2).sum(0))
+    if not squares.any():
+        return np.zeros((width, width))
     scale = np.where(squares > 0, np.sqrt(squares), 1.0)
     factors: list[np.ndarray] = []
     whole = np.eye(width)
