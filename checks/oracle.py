@@ -326,10 +326,16 @@ SELECT id, 'Deal ' || CAST(id AS VARCHAR) AS title, {na(squeeze('parts[1]'))} AS
     "url_list_first_seen": """WITH c AS (SELECT page_id, CASE WHEN starts_with(url, 'http') AND contains(url, 'example.com') THEN url
     ELSE CASE WHEN page_id % 5 = 0 THEN 'https://alt.example.com/Business-Auction/' ELSE 'https://alt.example.com/b/' END || CAST(page_id % 17 AS VARCHAR) END AS u FROM pages)
 SELECT u AS url, min(page_id) AS seq FROM c WHERE NOT contains(u, 'Business-Auction') GROUP BY 1""",
+    "listing_csv_breaks": f"""WITH {DESCRIBED}, r AS (SELECT *, 'He said "' || description || '",' || chr(10) || '"again" ' || CAST(id AS VARCHAR) AS said,
+  'https://example.org/d/' || CAST(id AS VARCHAR) AS url, '$' || CAST(n_chars AS VARCHAR) AS price FROM described)
+SELECT row_number() OVER (ORDER BY id) - 1 AS seq, url, title, price, {norm('industry')} AS industry, sha256({norm('said')}) AS description_hash FROM r""",
+    "merge_regions": f"WITH {LISTINGS} SELECT 8::INTEGER AS written, 56::INTEGER AS kept, count(*) AS rows, true AS right FROM listings",
+    "existing_urls_buckets": f"WITH {LISTINGS}, b AS ({BATCH_SQL}) SELECT DISTINCT url FROM b WHERE url IN (SELECT url FROM listings)",
     "url_list_files": """WITH p AS (SELECT CASE WHEN starts_with(url, 'http') AND contains(url, 'example.com') THEN url WHEN page_id % 4 <> 0 THEN 'https://example.com/never' END AS url,
   row_number() OVER (ORDER BY page_id) - 1 AS seq FROM pages)
 SELECT url, min(seq) AS seq FROM p WHERE url IS NOT NULL GROUP BY 1""",
     "listing_csv": f"WITH {RAW} SELECT row_number() OVER (ORDER BY id) - 1 AS seq, " + ", ".join(f"{norm(c)} AS {c}" for c in RECORD) + " FROM raw",
+    "merge_buckets": merged(COLLECTOR_UPDATES, "id, url, listing_hash, title, state, description, price, gross_revenue, cash_flow, ebitda, inventory, financial_data, scraping_date, price_num, gross_revenue_num, cash_flow_num, ebitda_num, first_seen_date, last_seen_date"),
     "upsert_collector": merged(COLLECTOR_UPDATES, "id, url, listing_hash, title, state, description, price, gross_revenue, cash_flow, ebitda, inventory, financial_data, scraping_date, price_num, gross_revenue_num, cash_flow_num, ebitda_num, first_seen_date, last_seen_date"),
     "upsert_upload": merged(UPLOAD_UPDATES, "id, url, title, inventory, price, gross_revenue, cash_flow, ebitda, price_num, gross_revenue_num, cash_flow_num, ebitda_num, description, scraping_date, CASE WHEN touched THEN last_seq % 7 END::DOUBLE AS embedding_0, CASE WHEN touched THEN 1.0 END::DOUBLE AS embedding_1"),
     "existing_urls": f"WITH {RAW}, batch AS ({BATCH_SQL}) SELECT seq, url FROM batch WHERE url IN (SELECT url FROM raw)",
@@ -402,7 +408,7 @@ c AS (SELECT * FROM described WHERE embedding IS NOT NULL), {neighbours('q', 'c'
 s AS (SELECT h.id, title, rank, len(list_intersect(['the', 'of', 'and'], {words('description')})) AS score
   FROM hits h JOIN described d ON h.id = d.id WHERE distance <= 1.0 AND rank <= 20)
 SELECT id, title, 'semantic + rerank' AS method FROM s ORDER BY score DESC, rank LIMIT 20""",
-    "search_fallback": f"WITH {DESCRIBED} SELECT id, title, 'text (embedding fallback)' AS method FROM described WHERE {like_any('In, of the inanin')} ORDER BY id LIMIT 20",
+    "search_fallback": f"WITH {DESCRIBED} SELECT id, title, 'text (embedding fallback)' AS method FROM described WHERE {like_any('the and attion to thanedble')} ORDER BY id LIMIT 20",
     "text_search": f"""WITH {DESCRIBED} SELECT id, 'https://example.org/d/' || CAST(id AS VARCHAR) AS url, source, title, city, state, country, industry, description,
   {', '.join(f"'N/A' AS {c}" for c in ('listed_by_firm', 'listed_by_name', 'phone', 'email'))}, '$' || CAST(n_chars AS VARCHAR) AS price,
   {', '.join(f"'N/A' AS {c}" for c in ('gross_revenue', 'cash_flow', 'inventory', 'ebitda', 'financial_data', 'source_link', 'extra_information', 'deal_date'))},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,20 +82,30 @@ def upsert(
     as_of=None,
     updates: list[str] = COLLECTOR_UPDATES,
     reset_changed_embeddings: bool = False,
+    largest: int | None = None,
+    together: tuple[Callable[[str], Column], int] | None = None,
 ) -> DataFrame:
     """The listing table after the batch, applied in ``seq`` order.
 
     A known URL gets the batch's last values for ``updates`` and a new last-seen date; a new URL becomes a row.
     Numbers are derived again for the touched rows only. Table and batch, reduced to one row per URL, meet in one full
     join, so each is computed once; a table bucketed by URL is not shuffled and its rows stay in their buckets.
+    ``largest`` is the largest id so far, else that of ``listings``. ``together`` names a bucket of a URL and a number of
+    partitions: rows then meet, and stay, by bucket.
     """
     now = moment(as_of)
     listings = as_listings(listings)
-    largest = listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = F.lit(largest) if largest is not None else listings.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     merged = collapse(batch.where(has_url()), updates)
     merged = merged.select(F.col("url").alias("_url"), F.col("seq").alias("_seq"), "first", "last")
     stored = listings.withColumn("_stored", F.lit(True))
-    met = stored.join(merged, F.col("url") == F.col("_url"), "full_outer")
+    same = F.col("url") == F.col("_url")
+    if together:
+        bucket_of, parts = together
+        stored = stored.withColumn("_at", bucket_of("url")).repartition(parts, "_at")
+        merged = merged.withColumn("_to", bucket_of("_url")).repartition(parts, "_to")
+        same = (F.col("_at") == F.col("_to")) & same
+    met = stored.join(merged, same, "full_outer")
 
     touched, fresh = F.col("_url").isNotNull(), F.col("_stored").isNull()
     values = {c: F.when(fresh, F.col(f"first.{c}")).otherwise(F.col(c)) for c in batch.columns if c in listings.columns}
@@ -105,7 +117,7 @@ def upsert(
         kept = values.get("description_embedding", F.col("description_embedding"))
         values["description_embedding"] = F.when(~changed, kept)
     values |= {
-        "id": F.coalesce("id", largest + 1 + F.col("_seq")),
+        "id": F.coalesce("id", top + 1 + F.col("_seq")),
         "url": F.coalesce("url", "_url"),
         "listing_hash": F.when(fresh, url_hash(F.col("_url"))).otherwise(F.col("listing_hash")),
         "first_seen_date": F.when(fresh, now).otherwise(F.col("first_seen_date")),
@@ -131,7 +143,8 @@ def added_listings(listings: DataFrame, rows: DataFrame, as_of=None) -> DataFram
 
 def as_listings(df: DataFrame) -> DataFrame:
     """Exactly the stored columns and types: absent numbers are derived, other absent columns are NULL."""
-    df = ensure_numeric_columns(df)
+    absent = [c for c in NUMERIC_COLUMNS.values() if c not in df.columns]
+    df = ensure_numeric_columns(df.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else df)
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)

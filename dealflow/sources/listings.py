@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealflow.operators.upsert import COLLECTOR_UPDATES, upsert
+from dealflow.operators.upsert import COLLECTOR_UPDATES, as_listings, upsert
 from dealflow.schema import LISTING_SCHEMA
 
 # Order of the rows inside a file, so that a look-back window skips most row groups.
@@ -97,7 +97,7 @@ class ListingStore:
     def write(self, listings: DataFrame, version: int | None = None, by_bucket: bool = False) -> int:
         """Store a new snapshot and return its number; an unfinished one of that number is replaced.
 
-        ``by_bucket`` says that each task's rows already belong to one bucket or few; otherwise they are shuffled, so
+        Columns that ``listings`` lacks are null, absent numbers are derived. ``by_bucket`` says that each task's rows already belong to one bucket or few; otherwise they are shuffled, so
         that a bucket does not become one file per task.
         """
         if version is None:
@@ -106,7 +106,7 @@ class ListingStore:
             raise ValueError(f"snapshot {version} exists already")
         self.claim(version)
         try:
-            rows = listings.select(*LISTING_SCHEMA.fieldNames())
+            rows = as_listings(listings)
             if self.buckets:
                 rows = rows if by_bucket else rows.repartition(self.buckets, "url")
                 rows.write.insertInto(self._bucketed(version), overwrite=True)
