@@ -385,6 +385,10 @@ SELECT *, sha256(url) AS listing_hash, {', '.join(f'{num(c)}::DOUBLE AS {c}_num'
     "semantic_duplicates": f"""WITH q AS (SELECT vec_id AS query_id, {PERTURB} AS embedding, vec_id AS seq FROM embeddings),
 c AS (SELECT vec_id AS id, embedding, -1 AS seq FROM embeddings UNION ALL SELECT query_id + 1000000, embedding, seq FROM q),
 {neighbours('q', 'c', 5, f'c.seq < q.seq AND {DISTANCE} < 0.15')} SELECT query_id, id, round(distance, 4) AS distance, rank FROM hits""",
+    "semantic_duplicates_join": f"""WITH q AS (SELECT vec_id AS query_id, {PERTURB} AS embedding FROM embeddings), c AS (SELECT vec_id AS id, embedding FROM embeddings),
+{neighbours('q', 'c', 5, f'{DISTANCE} < 0.15')} SELECT query_id, id, round(distance, 4) AS distance, rank FROM hits""",
+    "semantic_duplicates_pairs": f"""WITH q AS (SELECT vec_id AS query_id, {PERTURB} AS embedding FROM embeddings), c AS (SELECT vec_id AS id, embedding FROM embeddings),
+{neighbours('q', 'c', 5, f'{DISTANCE} < 0.15')} SELECT count(DISTINCT query_id) AS answered, true AS few FROM hits""",
     "semantic_candidates": f"""WITH {DESCRIBED}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings),
 c AS (SELECT * FROM described WHERE embedding IS NOT NULL AND country = 'US'), {neighbours('q', 'c', 40)}
 SELECT query_id, h.id, title, rank, round(distance, 4) AS distance, round(1 - distance, 4) AS similarity_score FROM hits h JOIN described d ON h.id = d.id""",

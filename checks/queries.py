@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from checks import tables
 from checks.tables import AS_OF
 from dealflow.functions import money, text
-from dealflow.operators import browse, dashboard, embed, ivf, knn, pages, screen, search, sla, stats, upload, upsert
+from dealflow.operators import browse, cells, dashboard, embed, ivf, knn, pages, rotation, screen, search, sla, stats, upload, upsert
 from dealflow.operators.collector import map_items, parse_item
 from dealflow.operators.filters import ListingFilter
 from dealflow.plans.overview import overview, overview_rows
@@ -623,6 +623,31 @@ def semantic_duplicates(spark, sf):
     return _rounded(upload.semantic_duplicates(queries, stored.unionByName(earlier)))
 
 
+def _duplicate_sides(spark, sf):
+    """All vectors with every eighth element zero, and the stored vectors, to join by distance."""
+    queries = _copies(spark, sf).select(F.col("vec_id").alias("query_id"), "embedding")
+    return knn.usable_vectors(queries, "query_id"), knn.usable_vectors(_vectors(spark, sf, "id"), "id")
+
+
+@query
+def semantic_duplicates_join(spark, sf):
+    """The copies against the stored vectors by the join for query tables of any size."""
+    hits = cells.bounded_hits(*_duplicate_sides(spark, sf), upload.SIMILAR_SHOWN, upload.DUPLICATE_DISTANCE)
+    return _rounded(knn.best_hits(hits, None, upload.SIMILAR_SHOWN))
+
+
+@query
+def semantic_duplicates_pairs(spark, sf):
+    """What that join compares in full: whether it is at most one pair in ten, and how many copies find a row."""
+    queries, corpus = _duplicate_sides(spark, sf)
+    placed = cells.place(corpus)
+    directions = rotation.leading(rotation.second_moment(corpus), upload.DUPLICATE_DISTANCE)
+    joined = rotation.threshold_join(queries, placed, upload.SIMILAR_SHOWN, upload.DUPLICATE_DISTANCE, directions)
+    compared, every = joined.pairs.count(), queries.count() * corpus.count()
+    answered = joined.hits.agg(F.countDistinct("query_id").alias("answered"))
+    return answered.select("answered", F.lit(compared * 10 <= every).alias("few"))
+
+
 @query
 def duplicate_report(spark, sf):
     """Copies of all vectors as an uploaded file: every flagged row with the listings it resembles."""

@@ -9,6 +9,7 @@ with the data.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -132,21 +133,51 @@ def _row_counts(df: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["n"] for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def cell_hits(
-    spread: DataFrame, placed: DataFrame, cells: int, sizes: dict[int, int], k: int, below: float | None
-) -> DataFrame:
-    """Best rows per query inside every (cell, block, query block) group; only those leave the group."""
-    wanted = _row_counts(spread)
-    row_blocks, query_blocks = _per_cell(sizes, cells), _per_cell(wanted, cells)
-    keys = ["cell", "block", "query_block"]
+@dataclass(frozen=True)
+class Placed:
+    """A corpus by cell: ``rows`` (``id, embedding, cell, gap``, perhaps ``seq``), stored, and per cell the number of rows and the least and
+    the largest distance from its pivot."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    sizes: dict[int, int]
+    low: np.ndarray
+    high: np.ndarray
 
-    rows = placed.where(F.col("cell").isin(list(wanted)))
+    def blocked(self) -> DataFrame:
+        """The rows with the ``block`` of their cell."""
+        return self.rows.withColumn("block", F.pmod(F.xxhash64("id"), _per_cell(self.sizes, len(self.pivots))))
+
+
+def place(corpus: DataFrame) -> Placed | None:
+    """Put a corpus into cells; None if it is empty."""
+    pivots = sample_pivots(corpus, pivot_count(corpus.count()))
+    if not len(pivots):
+        return None
+    # Read several times, computed once.
+    rows = materialise(assign_cells(corpus, pivots), "placed")
+    bounds = [F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")]
+    low, high, sizes = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), {}
+    for r in rows.groupBy("cell").agg(*bounds).collect():
+        sizes[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    return Placed(rows, pivots, sizes, low, high)
+
+
+def block_columns(rows: DataFrame, spread: DataFrame, placed: Placed) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of the corpus and queries by cell, each with ``block`` and ``query_block``, in as many copies as they meet."""
+    wanted = _row_counts(spread)
+    row_blocks, query_blocks = _per_cell(placed.sizes, len(placed.pivots)), _per_cell(wanted, len(placed.pivots))
+    rows = rows.where(F.col("cell").isin(list(wanted)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), row_blocks))
     rows = rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     asks = spread.withColumn("query_block", F.pmod(F.xxhash64("query_id"), query_blocks))
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
+    return rows, asks.withColumn("block", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
+
 
-    columns = ["embedding"] + (["seq"] if "seq" in placed.columns else [])
+def compare_blocks(rows: DataFrame, asks: DataFrame, k: int, below: float | None) -> DataFrame:
+    """Best rows per query inside every (cell, block, query block) group; only those leave the group."""
+    keys = ["cell", "block", "query_block"]
+    columns = ["embedding"] + (["seq"] if "seq" in rows.columns else [])
     rows = rows.select(*[F.col(c).cast("long").alias(c) for c in keys], "id", *columns)
     asks = asks.select(*[F.col(c).cast("long").alias(c) for c in keys], "query_id", *columns)
 
@@ -168,34 +199,38 @@ def cell_hits(
     return rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(compare, HIT_SCHEMA)
 
 
+def cell_hits(
+    spread: DataFrame, placed: DataFrame, cells: int, sizes: dict[int, int], k: int, below: float | None
+) -> DataFrame:
+    """Best rows per query in the cells that it was sent to."""
+    known = Placed(placed, np.empty((cells, 0)), sizes, np.empty(0), np.empty(0))
+    return compare_blocks(*block_columns(placed, spread, known), k, below)
+
+
 def bounded_hits(queries: DataFrame, corpus: DataFrame, k: int, below: float | None) -> DataFrame:
     """Exact hits for any number of queries: cells are skipped only when no row in them can qualify.
 
-    Without ``below``, a first look into each query's own cell finds ``k`` rows there, and no row farther than the
-    last of them can be among the nearest.
+    With ``below``, the vectors' leading components rule out most pairs that are left (``operators.rotation``). Without it,
+    a first look into each query's own cell finds ``k`` rows there, and no row farther than the last of them can be
+    among the nearest.
     """
-    pivots = sample_pivots(corpus, pivot_count(corpus.count()))
-    if not len(pivots):
+    placed = place(corpus)
+    if placed is None:
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
-    # Read three times below, computed once.
-    placed = materialise(assign_cells(corpus, pivots), "placed")
-    stats = (
-        placed.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
-        .collect()
-    )
-    sizes = {r["cell"]: r["n"] for r in stats}
-    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for row in stats:
-        low[row["cell"]], high[row["cell"]] = row["low"], row["high"]
-
-    if below is None:
-        own = materialise(spread_queries(queries, nearest_cells(pivots, 1)), "own-cells")
-        first = cell_hits(own, placed, len(pivots), sizes, k, None)
+    if below is not None:
+        from dealflow.operators import rotation
+
+        width = placed.pivots.shape[1]
+        directions = rotation.leading(rotation.second_moment(placed.rows), below) if width <= rotation.MOST_WIDTH else np.empty((width, 0))
+        if directions.shape[1]:
+            return rotation.threshold_join(queries, placed, k, below, directions).hits
+        queries = queries.withColumn("far", F.lit(float(below)))
+    else:
+        own = materialise(spread_queries(queries, nearest_cells(placed.pivots, 1)), "own-cells")
+        first = cell_hits(own, placed.rows, len(placed.pivots), placed.sizes, k, None)
         best = top_per_group(first, "query_id", [F.col("distance").asc(), F.col("id").asc()], k)
         last = best.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))
         queries = materialise(queries.join(last, "query_id", "left"), "bounded-queries")
-    else:
-        queries = queries.withColumn("far", F.lit(float(below)))
-    spread = materialise(spread_queries(queries, within_reach(pivots, low, high)), "spread")
-    return cell_hits(spread, placed, len(pivots), sizes, k, below)
+    reach = within_reach(placed.pivots, placed.low, placed.high)
+    spread = materialise(spread_queries(queries, reach), "spread")
+    return cell_hits(spread, placed.rows, len(placed.pivots), placed.sizes, k, below)
