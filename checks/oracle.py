@@ -281,6 +281,7 @@ UNION ALL SELECT 'priority_queue', CAST(id AS VARCHAR), fit_score::DOUBLE FROM p
     "listing_page": f"WITH {LISTINGS} SELECT {VIEW} FROM listings ORDER BY listings.last_seen_date DESC NULLS LAST, id DESC LIMIT 25 OFFSET 25",
     "listing_page_asc": f"WITH {LISTINGS} SELECT id, url, coalesce(cash_flow_num::DOUBLE, {num('cash_flow', 'DOUBLE')}) AS cash_flow_numeric FROM listings ORDER BY cash_flow_num ASC NULLS LAST, id DESC LIMIT 100 OFFSET 200",
     "listing_page_far": FAR,
+    "listing_page_far_index": FAR,
     "listing_page_info": f"WITH {LISTINGS} SELECT count(*) AS total, 2::INTEGER AS page, 10::INTEGER AS per_page, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages FROM listings WHERE {WANTED}",
     "listing_count": f"WITH {LISTINGS} SELECT count(*) AS total FROM listings WHERE source = 'SiteA' AND ebitda_num <= 1000000",
     "listing_by_id": f"WITH {LISTINGS} SELECT {VIEW} FROM listings WHERE id = 719",

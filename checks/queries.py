@@ -11,7 +11,7 @@ from checks.tables import AS_OF
 from dealflow.functions import money, text
 from dealflow.operators import browse, cells, dashboard, embed, ivf, knn, pages, rotation, screen, search, sla, stats, upload, upsert
 from dealflow.operators.collector import map_items, parse_item
-from dealflow.operators.filters import ListingFilter
+from dealflow.operators.filters import ListingFilter, SortChoice
 from dealflow.plans.overview import overview, overview_rows
 from dealflow.plans.search import search as search_request
 from dealflow.plans.upload import enter_deals
@@ -21,6 +21,7 @@ from dealflow.session import work_path
 from dealflow.sources import csv as csv_files
 from dealflow.sources import items as item_files
 from dealflow.sources.buckets import BucketStore
+from dealflow.sources.page_index import PageIndex
 from dealflow.streaming.ingest import record_stream, start_ingest
 
 QUERIES = {}
@@ -140,6 +141,16 @@ def listing_page_far(spark, sf):
     return browse.listing_page(rows, page=last, per_page=100, sort_by="price_num").select("id", "price_numeric")
 
 
+@query
+def listing_page_far_index(spark, sf):
+    """The same page out of a stored order: one range of it, and the buckets of the page's URLs."""
+    store = BucketStore(spark, work_path(spark, "buckets"), buckets=16)
+    store.write(tables.listings(spark, sf))
+    choice = SortChoice("price_num", "desc")
+    index = PageIndex.build(store.read(), work_path(spark, "pages"), [choice], range_rows=5000)
+    return index.page(store, -(-index.total(choice) // 100), 100, "price_num").select("id", "price_numeric")
+
+
 @query
 def listing_page_info(spark, sf):
     return browse.page_info(tables.listings(spark, sf), WANTED, page=2, per_page=10)
