@@ -423,6 +423,10 @@ SELECT id, title, 'semantic + rerank' AS method FROM s ORDER BY score DESC, rank
         f"SELECT {i}::INTEGER AS query_id, id FROM described WHERE industry = 'en' AND {like_any(q)}"
         for i, q in {1: "tion on", 2: "the", 3: "RENO", 4: "100%", 5: "src_"}.items()
     ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM a) SELECT query_id, id, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 15",
+    "text_search_index": f"WITH {DESCRIBED}, a AS (" + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS query_id, id FROM described WHERE industry = 'en' AND {like_any(q)}"
+        for i, q in {1: "tion on", 2: "the", 3: "RENO", 4: "100%", 5: "src_", 6: "the and attion to thanedble", 7: "Document 77"}.items()
+    ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM a) SELECT query_id, id, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 15",
     "search_dispatch": f"WITH {DESCRIBED} SELECT id, title FROM described WHERE {like_any('tion on')} ORDER BY id LIMIT 20",
     "embedding_backlog": "SELECT doc_id AS id, text AS description FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "embedding_backfill": """SELECT doc_id AS id, round(coalesce(embedding[1]::DOUBLE, length(text)), 6) AS embedding_0,

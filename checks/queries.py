@@ -22,6 +22,7 @@ from dealflow.sources import csv as csv_files
 from dealflow.sources import items as item_files
 from dealflow.sources.buckets import BucketStore
 from dealflow.sources.page_index import PageIndex
+from dealflow.sources.text_index import TextIndex
 from dealflow.streaming.ingest import record_stream, start_ingest
 
 QUERIES = {}
@@ -716,6 +717,15 @@ def text_search_many(spark, sf):
     return found.select(F.col("query_id").cast("int").alias("query_id"), "id", "rank")
 
 
+@query
+def text_search_index(spark, sf):
+    """The same requests, and a phrase, through stored postings of three letters."""
+    asked = {1: "tion on", 2: "the", 3: "RENO", 4: "100%", 5: "src_", 6: "the and attion to thanedble", 7: "Document 77"}
+    listings = tables.described(spark, sf)
+    found = TextIndex.build(listings, work_path(spark, "text")).search(listings, asked, 15, ListingFilter(industry="en"))
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "id", "rank")
+
+
 @query
 def search_dispatch(spark, sf):
     """A two-word request is answered as text."""
