@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +99,56 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def edit_distances(some: list[str], b: str, most: int) -> np.ndarray:
+    """The edit distance in characters of each text from ``b``, all texts a letter at a time; over ``most`` some number over it."""
+    longest = max(map(len, some))
+    codes = np.array([[ord(c) for c in a] + [-1] * (longest - len(a)) for a in some])
+    ends, own = np.array([len(a) for a in some]), np.array([ord(c) for c in b])
+    place = np.arange(len(b) + 1)
+    rows, found, left = np.repeat(place[None], len(some), 0), np.full(len(some), most + 1), np.arange(len(some))
+    for i in range(longest):
+        if i % 16 == 15:
+            near = rows.min(axis=1) <= most
+            rows, codes, ends, left = rows[near], codes[near], ends[near], left[near]
+            if not len(left):
+                break
+        fresh = np.empty_like(rows)
+        fresh[:, 0] = i + 1
+        fresh[:, 1:] = np.minimum(rows[:, 1:] + 1, rows[:, :-1] + (own != codes[:, i, None]))
+        fresh = np.minimum.accumulate(fresh - place, axis=1) + place
+        rows = np.where((ends > i)[:, None], fresh, rows)
+    found[left] = rows[:, -1]
+    return found
+
+
+def edited_lines(docs: list[tuple], least: float = 0.8) -> set[tuple]:
+    """(doc_id, text, line number) of the lines that another one stands for, by edit similarity in characters alone."""
+    at: dict[str, list] = {}
+    for doc_id, text in docs:
+        code = _signed(xxhash.xxh64_intdigest((text or "").encode(), 42))
+        for n, line in enumerate((text or "").split("\n")):
+            if norm := " ".join(normalise(line)):
+                at.setdefault(norm, []).append(((doc_id is not None, doc_id, code, n), (doc_id, text, n)))
+    by_length = sorted(at, key=len)
+    sizes = np.array([len(x) for x in by_length])
+    # An edit takes at most three triples of letters from a line.
+    triples = np.zeros((len(by_length), 2048), np.int16)
+    for i, x in enumerate(by_length):
+        np.add.at(triples[i], [hash(x[k : k + 3]) % 2048 for k in range(len(x) - 2)], 1)
+    links = []
+    for j, b in enumerate(by_length):
+        most = int(len(b) * (1 - least) + 1e-9)
+        low = int(np.searchsorted(sizes, len(b) - most))
+        more = np.maximum(triples[j] - triples[low:j], 0).sum(1) <= 3 * most
+        some = [by_length[low + i] for i in np.flatnonzero(more)]
+        if some:
+            links += [(a, b) for a, d in zip(some, edit_distances(some, b, most), strict=True) if d <= most]
+    members: dict[str, list] = {}
+    for norm, root in groups(list(at), links).items():
+        members.setdefault(root, []).extend(at[norm])
+    return {place for places in members.values() for key, place in places if key != min(places)[0]}
+
+
 def repeated_lines(docs: list[tuple], distance: int = 2, least: float = 0.8) -> set[tuple]:
     """(doc_id, text, line number) of the lines that another one stands for."""
     at: dict[tuple, list] = {}
