@@ -275,6 +275,12 @@ UNION ALL SELECT 'data_quality', item, value FROM u UNPIVOT INCLUDE NULLS (value
 UNION ALL SELECT 'sla', item, value FROM (SELECT COLUMNS(*)::DOUBLE FROM a) UNPIVOT INCLUDE NULLS (value FOR item IN (response_48h_rate, offer_5d_rate, close_60d_rate, in_pipeline))
 UNION ALL SELECT 'source_yield', source, qualified_rate FROM y
 UNION ALL SELECT 'priority_queue', CAST(id AS VARCHAR), fit_score::DOUBLE FROM p""",
+    "dashboard_rollups": f"""WITH {FLAGGED}, s AS ({SNAPSHOT}), y AS ({YIELD}), u AS ({QUALITY}), f AS ({FUNNEL})
+SELECT 'snapshot' AS section, item, value FROM (SELECT COLUMNS(*)::DOUBLE FROM s) UNPIVOT INCLUDE NULLS (value FOR item IN (total_listings, new_this_week, qualified_count, pass_rate, active_sources, distinct_industries))
+UNION ALL SELECT 'criteria_funnel', stage, count::DOUBLE FROM f
+UNION ALL SELECT 'data_quality', item, value FROM u UNPIVOT INCLUDE NULLS (value FOR item IN (parseable_revenue_pct, parseable_ebitda_pct, parseable_cash_flow_pct, parseable_location_pct))
+UNION ALL SELECT 'source_yield', source, qualified_rate FROM y""",
+    "distinct_sketches": f"WITH {FLAGGED} " + " UNION ALL ".join(f"SELECT '{c}' AS item, count(DISTINCT {c}) FILTER ({present(c)}) AS exact, true AS near FROM flagged" for c in ("source", "industry", "title", "listed_by_firm", "city")),
     "listing_view": f"WITH {LISTINGS} SELECT {VIEW} FROM listings",
     "filter_listings": f"WITH {LISTINGS} SELECT id, {NUMS} FROM listings WHERE {WANTED}",
     "filter_listings_fallback": f"WITH {LISTINGS} SELECT id, {NUMS} FROM listings WHERE {WANTED}",

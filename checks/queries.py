@@ -12,16 +12,17 @@ from dealflow.functions import money, text
 from dealflow.operators import browse, cells, dashboard, embed, ivf, knn, pages, rotation, screen, search, sla, stats, upload, upsert
 from dealflow.operators.collector import map_items, parse_item
 from dealflow.operators.filters import ListingFilter, SortChoice
-from dealflow.plans.overview import overview, overview_rows
+from dealflow.plans.overview import measures, overview, overview_rows
 from dealflow.plans.search import search as search_request
 from dealflow.plans.upload import enter_deals
 from dealflow.plans.upload import upload as upload_batch
 from dealflow.schema import LISTING_COLUMNS, NUMERIC_COLUMNS, RECORD_COLUMNS
-from dealflow.session import work_path
+from dealflow.session import materialise, work_path
 from dealflow.sources import csv as csv_files
 from dealflow.sources import items as item_files
 from dealflow.sources.buckets import BucketStore
 from dealflow.sources.page_index import PageIndex
+from dealflow.sources.rollups import SKETCH_ERROR, SKETCHED, Rollups
 from dealflow.sources.text_index import TextIndex
 from dealflow.streaming.ingest import record_stream, start_ingest
 
@@ -67,6 +68,37 @@ def dashboard_snapshot(spark, sf):
     return dashboard.snapshot(_groups(spark, sf))
 
 
+def _rollups(spark, sf):
+    """Listings that arrive in three parts, with the roll-ups brought up to date after each."""
+    store = BucketStore(spark, work_path(spark, "buckets"), buckets=8)
+    rollups, listings = Rollups(store), tables.listings(spark, sf)
+    for part in range(3):
+        store.add(listings.where(F.col("id") % 3 == part))
+        rollups.refresh()
+    return rollups, store
+
+
+@query
+def dashboard_rollups(spark, sf):
+    """The reports that are counts, out of the counts per day."""
+    groups = materialise(_rollups(spark, sf)[0].group_counts(AS_OF), "groups")
+    funnel = dashboard.criteria_funnel(groups).select(F.lit("criteria_funnel").alias("section"), F.col("stage").alias("item"), F.col("count").cast("double").alias("value"))
+    shares = dashboard.source_yield(groups).select(F.lit("source_yield"), "source", "qualified_rate")
+    snapshot, quality = measures("snapshot", dashboard.snapshot(groups)), measures("data_quality", dashboard.data_quality(groups))
+    return snapshot.union(funnel).union(quality).union(shares)
+
+
+@query
+def distinct_sketches(spark, sf):
+    """Numbers of different values in the window, and whether the estimates out of daily sketches are within four standard errors."""
+    rollups, store = _rollups(spark, sf)
+    seen = dashboard.in_scope(store.read(), AS_OF)
+    exact = seen.select([F.countDistinct(F.when(text.is_present(F.col(c)), F.col(c))).alias(c) for c in SKETCHED]).unpivot([], SKETCHED, "item", "exact")
+    found = rollups.distinct_values(AS_OF).unpivot([], SKETCHED, "item", "estimate")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 4 * SKETCH_ERROR * F.col("exact") + 1
+    return exact.join(found, "item").select("item", "exact", near.alias("near"))
+
+
 @query
 def dashboard_funnel(spark, sf):
     return dashboard.criteria_funnel(_groups(spark, sf))

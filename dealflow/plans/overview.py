@@ -46,7 +46,7 @@ def overview(
     )
 
 
-def _measures(section: str, row: DataFrame) -> DataFrame:
+def measures(section: str, row: DataFrame) -> DataFrame:
     """A one-row report as ``section, item, value`` rows."""
     values = row.select(*[F.col(c).cast("double").alias(c) for c in row.columns])
     return values.unpivot([], row.columns, "item", "value").select(F.lit(section).alias("section"), "item", "value")
@@ -55,10 +55,10 @@ def _measures(section: str, row: DataFrame) -> DataFrame:
 def overview_rows(found: Overview) -> DataFrame:
     """All sections in one long table, so that a single job fills the dashboard."""
     parts = [
-        _measures("snapshot", found.snapshot),
+        measures("snapshot", found.snapshot),
         found.criteria_funnel.select(F.lit("criteria_funnel"), "stage", F.col("count").cast("double")),
-        _measures("data_quality", found.data_quality),
-        _measures("sla", found.sla),
+        measures("data_quality", found.data_quality),
+        measures("sla", found.sla),
         found.source_yield.select(F.lit("source_yield"), "source", "qualified_rate"),
         found.priority_queue.select(
             F.lit("priority_queue"), F.col("id").cast("string"), F.col("fit_score").cast("double")
