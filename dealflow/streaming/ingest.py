@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dealflow.operators.numbering import number_rows, with_origin
 from dealflow.operators.upsert import normalise_records, split_rejects
 from dealflow.schema import RECORD_COLUMNS
+from dealflow.sources.buckets import BucketStore
 from dealflow.sources.listings import ListingStore
 
 RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_COLUMNS])
@@ -28,7 +29,7 @@ def record_stream(
     return with_origin(reader.load(path))
 
 
-def merge_batch(store: ListingStore, reject_path: str, records: DataFrame, batch_id: int) -> None:
+def merge_batch(store: ListingStore | BucketStore, reject_path: str, records: DataFrame, batch_id: int) -> None:
     """Merge one micro-batch into a new snapshot. Merging a batch again, after a lost run, finds every URL stored and
     adds no row.
 
@@ -41,11 +42,12 @@ def merge_batch(store: ListingStore, reject_path: str, records: DataFrame, batch
 
 
 def start_ingest(
-    records: DataFrame, store: ListingStore, reject_path: str, checkpoint: str, **trigger
+    records: DataFrame, store: ListingStore | BucketStore, reject_path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Run the merge for every micro-batch, by default for all files present and then stop.
 
-    A merge rewrites the snapshot, so give a large table few and large batches.
+    Into a ``BucketStore`` a merge reads and rewrites only the buckets of the micro-batch's URLs; a ``ListingStore`` writes a
+    whole snapshot, so give it few and large batches.
     """
     return (
         records.writeStream.foreachBatch(
