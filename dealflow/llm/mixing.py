@@ -3,8 +3,8 @@
 Every source's documents are put in a shuffled order and cut into blocks of equal words. The mix is a row of slots;
 slot ``i`` belongs to the source in whose share of the cumulated targets the golden-ratio point ``frac(i * phi)``
 falls, and the slots of a source, ranked, take its blocks in turn, from the first again after the last. The points are
-so even that after any number of slots each source has its share but for a few blocks. A source of few
-blocks, for which these are much, ends exactly at its target instead.
+so even that after any number of slots each source has its share but for a few blocks. No block is more than a
+thousandth of its source, so these few are little to a small source as well.
 """
 
 from __future__ import annotations
@@ -22,20 +22,19 @@ MOST_REPEATS = 3
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 4096
 LEAST_SLOTS = 100_000  # small inputs get smaller blocks
-EXACT_BLOCKS = 1000  # sources of fewer blocks are taken by words, not by slots
+LEAST_BLOCKS = 1000  # that a source is cut into
 CELLS = 4096
 CHUNK = 1 << 16  # slots ranked together
 BUCKET_ROWS = 20_000  # documents put in order together, about
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Targets of the sources of ``sizes(source, source_size)``: ``place, weight, target, low, high`` are added.
+    """Targets of the sources of ``sizes(source, source_size)``: ``place, weight, target`` are added.
 
     Sources stand by code point, a null one last, and weigh ``weights`` in turn. A target is the source's share by
     weight of all words, but at most ``most`` times its own; what that leaves over is shared out again until none is
     above. Sources that stop there are those with the smallest room per weight, so one pass in that order finds the
-    common level. ``low`` and ``high`` bound the source's share of the cumulated targets. One row per source meets in
-    one task.
+    common level. One row per source meets in one task.
     """
     everything = Window.partitionBy(F.lit(0))
     by_name = everything.orderBy(F.asc_nulls_last("source"))
@@ -50,40 +49,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     placed = placed.withColumn("level", (total - before) / after)
     level = F.min(F.when(F.col("room") >= F.col("level"), F.struct("room", "place", "level"))).over(everything)["level"]
     placed = placed.withColumn("target", F.least("cap", level * F.col("weight")))
-    so_far = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = placed.withColumn("high", so_far)
-    whole = F.max("high").over(everything)
-    high = F.when(whole > 0, F.col("high") / whole).otherwise(F.lit(0.0))
-    placed = placed.withColumn("high", high)
-    placed = placed.withColumn("low", F.coalesce(F.lag("high").over(by_name), F.lit(0.0)))
-    return placed.select("source", "source_size", "place", "weight", "target", "low", "high")
+    return placed.select("source", "source_size", "place", "weight", "target")
 
 
 def block_words(total: int) -> int:
     return max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
 
 
-def schedule(targets: DataFrame, total: int, block: int, most: int = MOST_REPEATS) -> DataFrame:
-    """The slots of the mix: ``slot, place, rank, block, epoch``.
+def cut_sources(targets: DataFrame, block: int, least: int = LEAST_BLOCKS) -> DataFrame:
+    """Cut the sources of ``source_targets`` into blocks: ``per, of, blocks, upto, low, high`` are added.
+
+    A source has at least ``least`` blocks of equal width, ``per / of`` words, which is ``block`` or less; block ``k``
+    begins at word ``k * per / of``, rounded up, so in a source of few words some are empty. The schedule has a slot
+    for each block's width of the target: ``upto`` are the slots up to this source, and ``low`` and ``high``
+    bound its share of them. One row per source meets in one task.
+    """
+    large = F.col("source_size") >= least * block
+    cut = targets.withColumn("per", F.when(large, F.lit(block).cast("long")).otherwise(F.col("source_size")))
+    cut = cut.withColumn("of", F.when(large, F.lit(1)).otherwise(F.lit(least)).cast("long"))
+    cut = cut.withColumn("blocks", F.when(F.col("per") > 0, F.ceil(F.col("source_size") * F.col("of") / F.col("per"))).otherwise(F.lit(0)))
+    by_place = Window.partitionBy(F.lit(0)).orderBy("place")
+    slots = F.when(F.col("per") > 0, F.col("target") * F.col("of") / F.col("per")).otherwise(F.lit(0.0))
+    cut = cut.withColumn("upto", F.sum(slots).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = F.max("upto").over(Window.partitionBy(F.lit(0)))
+    cut = cut.withColumn("high", F.when(whole > 0, F.col("upto") / whole).otherwise(F.lit(0.0)))
+    return cut.withColumn("low", F.coalesce(F.lag("high").over(by_place), F.lit(0.0)))
+
+
+def schedule(cut: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+    """The slots of the mix of ``cut_sources``: ``slot, place, rank, block, epoch``.
 
     Intervals of the sources are looked up by an equi-join on cells of the unit interval. Ranks are counted within
     chunks of slots and the chunks added up, so that a large source is ranked by many tasks.
     """
     cells = F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.least(F.col("high"), F.lit(1 - 1e-12)) * CELLS))
-    spans = targets.where("high > low").select("place", "low", "high", "source_size", F.explode(cells).alias("cell"))
-    spark = targets.sparkSession
-    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % 1.0).alias("point"))
+    spans = cut.where("high > low").select("place", "low", "high", "blocks", F.explode(cells).alias("cell"))
+    total = cut.agg(F.coalesce(F.floor(F.max("upto") + 0.5), F.lit(0))).first()[0]
+    slots = cut.sparkSession.range(total).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % 1.0).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS))
     found = slots.join(spans, "cell").where("point >= low AND point < high")
-    found = found.select("slot", "place", "source_size", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    found = found.select("slot", "place", "blocks", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = found.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("place", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     inside = F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1
     ranked = found.withColumn("inside", inside).join(counts, ["place", "chunk"])
     ranked = ranked.withColumn("rank", F.col("earlier") + F.col("inside"))
-    blocks = F.ceil(F.col("source_size") / block)
-    ranked = ranked.withColumn("block", F.col("rank") % blocks).withColumn("epoch", F.floor(F.col("rank") / blocks))
+    ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("epoch", F.floor(F.col("rank") / F.col("blocks")))
     return ranked.where(F.col("epoch") < most).select("slot", "place", "rank", "block", "epoch")
 
 
@@ -96,7 +108,7 @@ def shuffled(sized: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     coded = sized.withColumn("code", code).withColumn("bucket", F.substring("code", 1, digits))
-    coded = coded.join(targets.select(F.col("source").alias("_source"), "place", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
+    coded = coded.join(targets.select(F.col("source").alias("_source"), "place", "source_size", "target", "per", "of"), F.col("source").eqNullSafe(F.col("_source")))
     sums = coded.groupBy("place", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("place", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
@@ -106,22 +118,13 @@ def shuffled(sized: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     return placed.withColumn("start", F.col("base") + F.col("inside")).drop("_source", "code", "bucket", "inside", "base")
 
 
-def fragments(placed: DataFrame, block: int) -> DataFrame:
+def fragments(placed: DataFrame) -> DataFrame:
     """The part of each block that a document fills: ``place, start, block, words``."""
-    last = F.floor((F.col("start") + F.col("size") - 1) / block)
-    cut = placed.where("size > 0").select("place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.select("place", "start", "block", (end - F.greatest(F.col("start"), F.col("block") * block)).alias("words"))
-
-
-def exact_copies(placed: DataFrame) -> DataFrame:
-    """``place, start, copies`` of documents whose source is taken up to its target, rounded to words.
-
-    Whole rounds come first; the last one ends within the shuffled documents.
-    """
-    left = F.round("target").cast("long") - F.col("start")
-    rounds = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("source_size") * k)) for k in range(MOST_REPEATS)]
-    return placed.where("size > 0").select("place", "start", F.array(*rounds).alias("copies"))
+    last = F.expr("((start + size - 1) * of) div per")
+    cut = placed.where("size > 0").select("place", "start", "size", "per", "of", F.explode(F.sequence(F.expr("(start * of) div per"), last)).alias("block"))
+    begin, end = F.expr("(block * per + of - 1) div of"), F.expr("((block + 1) * per + of - 1) div of")
+    words = F.least(F.col("start") + F.col("size"), end) - F.greatest("start", begin)
+    return cut.select("place", "start", "block", words.alias("words"))
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -136,15 +139,12 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     size = F.size(words(F.col("text"))).cast("long")
     sized = materialise(docs.select(*kept, "doc_id", "source", size.alias("size")), "sizes")
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    block = block_words(total)
-    placed = materialise(shuffled(sized, targets, rows), "placed")
-    slots = schedule(targets, total, block)
-    times = slots.groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    cut = materialise(cut_sources(targets, block_words(total)), "targets")
+    placed = materialise(shuffled(sized, cut, rows), "placed")
+    times = schedule(cut).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
     repeats = [F.sum(F.when(F.col("times") > k, F.col("words")).otherwise(F.lit(0))) for k in range(MOST_REPEATS)]
-    few = F.col("source_size") < EXACT_BLOCKS * block
-    taken = fragments(placed.where(~few), block).join(times, ["place", "block"]).groupBy("place", "start").agg(F.array(*repeats).alias("copies"))
-    taken = taken.unionByName(exact_copies(placed.where(few)))
+    taken = fragments(placed).join(times, ["place", "block"]).groupBy("place", "start").agg(F.array(*repeats).alias("copies"))
     filled = placed.where("size > 0").join(taken, ["place", "start"], "left")
     none = F.array(*[F.lit(0).cast("long")] * MOST_REPEATS)
     empty = placed.where("size = 0").withColumn("copies", none)
@@ -181,4 +181,4 @@ def take(docs: DataFrame) -> DataFrame:
     return copies.select(*[(cut if i == at else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)])
 
 
-__all__ = ["WORD", "block_words", "fragments", "mix", "schedule", "shuffled", "source_targets", "take"]
+__all__ = ["WORD", "block_words", "cut_sources", "fragments", "mix", "schedule", "shuffled", "source_targets", "take"]

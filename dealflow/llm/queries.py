@@ -171,18 +171,21 @@ l AS (
 t AS (
   SELECT *, least(cap, weight * (SELECT arg_min(level, (room, place)) FROM l WHERE room >= level)) AS target,
          greatest(1, least(4096, total // 100000)) AS block FROM l),
-c AS (SELECT *, sum(target) OVER (ORDER BY place) AS upto FROM t),
-h AS (SELECT *, CASE WHEN max(upto) OVER () > 0 THEN upto / max(upto) OVER () ELSE 0.0 END AS high FROM c),
-b AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0.0) AS low, ceil(source_size / block)::BIGINT AS blocks FROM h),
+b AS (SELECT *, CASE WHEN source_size >= 1000 * block THEN block ELSE source_size END AS per,
+             CASE WHEN source_size >= 1000 * block THEN 1 ELSE 1000 END AS parts FROM t),
+n AS (SELECT *, CASE WHEN per > 0 THEN ceil(source_size * parts / per)::BIGINT ELSE 0 END AS blocks,
+             sum(CASE WHEN per > 0 THEN target * parts / per ELSE 0.0 END) OVER (ORDER BY place) AS upto FROM b),
+h AS (SELECT *, CASE WHEN max(upto) OVER () > 0 THEN upto / max(upto) OVER () ELSE 0.0 END AS high FROM n),
+i AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0.0) AS low FROM h),
 points AS (
   SELECT (i * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS point
-  FROM unnest(range((SELECT ceil(max(total) / max(block))::BIGINT FROM b))) AS r(i)),
-slots AS (SELECT place, count(*) AS slots FROM points JOIN b ON point >= low AND point < high GROUP BY place),
+  FROM unnest(range((SELECT floor(max(upto) + 0.5)::BIGINT FROM i))) AS r(i)),
+slots AS (SELECT place, count(*) AS slots FROM points JOIN i ON point >= low AND point < high GROUP BY place),
 o AS (
-  SELECT d.*, place, source_size, target, block, blocks, coalesce(slots, 0) AS slots,
+  SELECT d.*, place, source_size, target, per, parts, blocks, coalesce(slots, 0) AS slots,
     sum(size) OVER (PARTITION BY place ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN slots USING (place))
+  FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source LEFT JOIN slots USING (place))
 SELECT doc_id, size, source_size, target,
-  list_sum([greatest(0, least(size, least(greatest(slots - k * blocks, 0), blocks) * block - start)) for k in [0, 1, 2]])::BIGINT AS taken
+  list_sum([greatest(0, least(size, (least(greatest(slots - k * blocks, 0), blocks) * per + parts - 1) // parts - start)) for k in [0, 1, 2]])::BIGINT AS taken
 FROM o"""
