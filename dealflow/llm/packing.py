@@ -4,7 +4,8 @@ Documents become token ids and only those longer than a sequence are cut. Full p
 others are dealt at random into groups of bounded size. Each group is packed best-fit decreasing, then documents move
 between its underfull sequences (one for one, two for one, or a plain move) as long as the sum of the squared fills
 grows; a sequence that becomes empty is dropped. A group ends at most a part of one sequence above what its own
-tokens allow as a lower bound, or where no exchange helps any more.
+tokens allow as a lower bound, or where no exchange helps any more. The emptiest sequences of all groups are then
+packed again with each other, in groups of bounded size, until one group is left.
 """
 
 from __future__ import annotations
@@ -212,6 +213,8 @@ class _Underfull:
         self.items = {k: list(bins[k]) for k in self.fill}
         self.at: dict[int, dict[int, set[int]]] = {}  # length -> bin -> items
         self.sizes: list[int] = []
+        self.pairs: dict[int, dict[int, tuple[int, int]]] | None = None  # length of two items -> bin -> items, once needed
+        self.pair_sizes: list[int] = []
         for k, own in self.items.items():
             for i in own:
                 self._put(k, i)
@@ -232,8 +235,52 @@ class _Underfull:
                 del self.at[size]
                 self.sizes.pop(bisect_right(self.sizes, size) - 1)
 
+    def _two(self, k: int) -> dict[int, tuple[int, int]]:
+        """Two pieces of bin ``k`` for each length that two of them have together."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.items[k]:
+            by_size.setdefault(self.lengths[i], []).append(i)
+        distinct, found = sorted(by_size), {}
+        for n, s in enumerate(distinct):
+            if len(by_size[s]) > 1:
+                found.setdefault(2 * s, (by_size[s][0], by_size[s][1]))
+            for t in distinct[n + 1 :]:
+                found.setdefault(s + t, (by_size[s][0], by_size[t][0]))
+        return found
+
+    def _put_pairs(self, k: int) -> None:
+        for size, two in self._two(k).items():
+            if size not in self.pairs:
+                self.pairs[size] = {}
+                insort(self.pair_sizes, size)
+            self.pairs[size][k] = two
+
+    def _take_pairs(self, k: int) -> None:
+        for size in self._two(k):
+            del self.pairs[size][k]
+            if not self.pairs[size]:
+                del self.pairs[size]
+                self.pair_sizes.pop(bisect_right(self.pair_sizes, size) - 1)
+
+    def _pair_partner(self, a: int, least: int, most: int, base: int) -> tuple[int, int, tuple[int, int]] | None:
+        """As ``_partner``, for the longest two pieces of one bin."""
+        if self.pairs is None:
+            self.pairs = {}
+            for k in self.items:
+                self._put_pairs(k)
+        at = bisect_right(self.pair_sizes, most) - 1
+        while at >= 0 and (size := self.pair_sizes[at]) > least:
+            for b, two in self.pairs[size].items():
+                if b != a and self.fill[b] < base + size - least:
+                    return size - least, b, two
+            at -= 1
+        return None
+
     def exchange(self, a: int, give: list[int], b: int, get: list[int]) -> None:
         """Bin ``a`` gives ``give`` to ``b`` for ``get``."""
+        if self.pairs is not None:
+            self._take_pairs(a)
+            self._take_pairs(b)
         for source, target, moved in ((a, b, give), (b, a, get)):
             for i in moved:
                 self._take(source, i)
@@ -242,6 +289,9 @@ class _Underfull:
                 self._put(target, i)
                 self.fill[source] -= self.lengths[i]
                 self.fill[target] += self.lengths[i]
+        if self.pairs is not None:
+            self._put_pairs(a)
+            self._put_pairs(b)
 
     def _holder(self, size: int, a: int, below: int) -> int | None:
         """A bin other than ``a`` that holds a piece of this length and is filled less than ``below``."""
@@ -280,19 +330,11 @@ class _Underfull:
                 if found[0] == room:
                     break
         if not best or best[0] < room:  # two pieces of an emptier bin for one
-            emptier = sorted((k for k in self.fill if k != a and self.fill[k] < base + room), key=self.fill.get)[:8]
-            for b in emptier:
-                theirs = sorted(self.items[b], key=self.lengths.__getitem__)
-                for s, i in by_size.items():
-                    low, high = 0, len(theirs) - 1
-                    while low < high:
-                        gain = self.lengths[theirs[low]] + self.lengths[theirs[high]] - s
-                        if gain > room:
-                            high -= 1
-                            continue
-                        if gain > 0 and base + gain > self.fill[b] and (not best or gain > best[0]):
-                            best = (gain, [i], b, [theirs[low], theirs[high]])
-                        low += 1
+            for total, i in by_size.items():
+                if (found := self._pair_partner(a, total, total + room, base)) and (not best or found[0] > best[0]):
+                    best = (found[0], [i], found[1], list(found[2]))
+                    if found[0] == room:
+                        break
         if not best:
             return False
         _, give, b, get = best
@@ -325,43 +367,64 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 def place(rest: DataFrame, tokens: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Give each row of ``rest(length, ...)`` a ``sequence_id`` and a gapless ``offset``; lengths are 1 to ``tokens``.
 
-    Rows are dealt by their position, so that equal or hot documents spread over all groups.
+    Rows are dealt by their position, so that equal or hot documents spread over all groups. Each group's emptiest
+    sequence is opened again and its rows go to the next round, which has as many groups as they need; the last round
+    has one.
     """
     full = rest.where(F.col("length") >= tokens)
-    full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    part = rest.where(F.col("length") < tokens)
-    groups = max(1, -(-part.count() // group))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = rows["length"].tolist()
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for k, own in enumerate(local_search(best_fit(lengths, tokens), lengths, tokens)):
-            at = 0
-            for i in own:
-                sequence[i], offset[i] = k, at
-                at += lengths[i]
-        number = int(rows["_group"].iloc[0])
-        return rows.drop(columns="_group").assign(sequence_id=(number << 32) + sequence, offset=offset)
-
-    dealt = part.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    done = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInPandas(pack, schema).unionByName(full)
+    names = [*rest.columns, "sequence_id", "offset"]
+
+    def packer(before: int, last: bool):
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            lengths = rows["length"].tolist()
+            sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            bins = local_search(best_fit(lengths, tokens), lengths, tokens)
+            fills = [sum(lengths[i] for i in own) for own in bins]
+            least = min(range(len(bins)), key=fills.__getitem__)
+            for k, own in enumerate(bins):
+                at = 0
+                for i in own:
+                    sequence[i], offset[i] = k, at
+                    at += lengths[i]
+            number = before + int(rows["_group"].iloc[0])
+            out = rows.drop(columns="_group").assign(sequence_id=(number << 32) + sequence, offset=offset)
+            return out if last else out.assign(_open=(sequence == least) & (fills[least] < tokens))
+
+        return pack
+
+    part, before = rest.where(F.col("length") < tokens), 0
+    while True:
+        groups = max(1, -(-part.count() // group))
+        dealt = part.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).groupBy("_group")
+        if groups == 1:
+            return done.unionByName(dealt.applyInPandas(packer(before, True), schema))
+        packed = materialise(dealt.applyInPandas(packer(before, False), schema + ", _open boolean"), "packed")
+        done = done.unionByName(packed.where("NOT _open").select(*names))
+        part, before = packed.where("_open").select(*rest.columns), before + groups
 
 
 def pack(docs: DataFrame, tokens: int = SEQUENCE, path: str | None = None) -> DataFrame:
     """Pack ``docs(doc_id, text)``: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` per piece.
 
     Every row is a document of its own, repeated rows and null ids included; an empty table gives no piece. Lengths of
-    all pieces are stored once, since they are counted before they are dealt. ``assemble`` gives the sequences.
+    all pieces are stored once, since they are counted before they are dealt. ``sequences`` gives their ids.
     """
     cut = pieces(docs, tokens, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     placed = place(materialise(cut, "pieces"), tokens)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def assemble(placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """The sequences themselves: ``sequence_id`` and the ``ids`` of its pieces in order, from ``pieces`` and ``pack``."""
-    whole = placed.join(cut.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+def sequences(docs: DataFrame, tokens: int = SEQUENCE, path: str | None = None) -> DataFrame:
+    """The packed sequences of ``docs(doc_id, text)``: ``sequence_id`` and the ``ids`` of its pieces, four bytes per id.
+
+    Pieces are stored with their ids and numbered, and each is looked up once by its number, so rows that repeat an id
+    and rows without one keep their own.
+    """
+    cut = materialise(pieces(docs, tokens, path).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    placed = place(cut.select("number", "length"), tokens)
+    whole = placed.join(cut.select("number", "ids"), "number")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
     return whole.groupBy("sequence_id").agg(joined.alias("ids"))

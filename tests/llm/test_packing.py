@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +62,31 @@ def test_odd_rows(spark):
 
 
 def test_sequences_hold_the_documents(spark):
-    docs = spark.createDataFrame([(i, f"w{i} " * (i + 1)) for i in range(40)], SCHEMA)
-    placed, cut = packing.pack(docs, 64), packing.pieces(docs, 64)
-    whole = sum(len(bytes(r["ids"])) for r in packing.assemble(placed, cut).collect())
-    assert whole == sum(len(bytes(r["ids"])) for r in cut.collect())
+    docs = [(i, f"w{i} " * (i + 1)) for i in range(40)] + [(7, "w7 " * 8)] * 3 + [(7, "other"), (None, "a b"), (None, "c"), (50, None)]
+    whole = [np.frombuffer(r["ids"], "<u4").tolist() for r in packing.sequences(spark.createDataFrame(docs, SCHEMA), 64).collect()]
+    assert max(map(len, whole)) <= 64
+    want = Counter()
+    for _, text in docs:
+        ids = plain_ids(text)
+        for at in range(0, len(ids), 64):
+            want.update(ids[at : at + 64])
+    assert Counter(i for w in whole for i in w) == want
+    assert packing.sequences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_leftovers_of_groups_are_packed_together(spark):
+    rng = random.Random(5)
+    lengths = [rng.choice([rng.randrange(1, 100), rng.randrange(1, 20), 100]) for _ in range(3000)]
+    rest = spark.createDataFrame(list(enumerate(lengths)), "n long, length long").repartition(4)
+    rows = packing.place(packing.materialise(rest, "rest"), 100, 50).collect()
+    assert sorted(r["n"] for r in rows) == list(range(3000))
+    fill = Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 100
+    # About 40 groups; without the further rounds most of them would leave a sequence of their own half empty.
+    assert len(fill) <= -(-sum(lengths) // 100) + 8
 
 
 def test_slabs_never_change_ids(monkeypatch):
@@ -93,3 +115,32 @@ def test_exchange_saves_a_sequence():
     # Best fit leaves 6+3, 5+4 and 2: exchanging fills two of them.
     lengths, bins = [6, 3, 5, 4, 2], [[0, 1], [2, 3], [4]]
     assert len(packing.local_search(bins, lengths, 10)) == 2
+
+
+def squares(bins, lengths):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_exchange_is_left_where_sequences_could_be_saved(seed):
+    """Against every move, one-for-one and two-for-one exchange between any two underfull sequences."""
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randrange(34, 60), rng.randrange(12, 40)]) for _ in range(60)]
+    start = [[i] for i in range(60)] if seed % 2 else packing.best_fit(lengths, 100)
+    bins = packing.local_search([list(b) for b in start], lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(60)) and squares(bins, lengths) >= squares(start, lengths)
+    if sum(100 - sum(lengths[i] for i in b) for b in bins) < 100:
+        return
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a in range(len(bins)):
+        gives = [0, *(lengths[i] for i in bins[a])]
+        twos = [lengths[i] + lengths[j] for n, i in enumerate(bins[a]) for j in bins[a][n + 1 :]]
+        for b in range(len(bins)):
+            if a == b or fill[a] == 100 or fill[b] == 100:
+                continue
+            gets = [lengths[i] for i in bins[b]]
+            pairs = [lengths[i] + lengths[j] for n, i in enumerate(bins[b]) for j in bins[b][n + 1 :]]
+            moves = [(x, y) for x in gives + twos for y in gets] + [(x, y) for x in gives[1:] for y in pairs]
+            for x, y in moves:
+                gain = y - x
+                assert not (0 < gain <= 100 - fill[a] and fill[a] + gain > fill[b]), (a, b, x, y)
