@@ -58,3 +58,31 @@ def test_components_of_a_long_path_and_odd_links(spark):
     table = spark.createDataFrame(links, "a long, b long")
     roots = {r["node"]: r["root"] for r in groups.components(table).collect()}
     assert roots == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat with other texts, null ids, repeated rows and hot copies, against brute force on rows."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(12)] + [None, "", "One", "one"]
+    rows = [(rng.choice([None, *range(9)]), rng.choice(texts), k % 3) for k in range(150)]
+    rows += [(None, texts[0], 1)] * 60 + [(7, texts[1], 2)] * 60
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _key int").withColumns({"stays": F.lit(1), "fp": F.lit("x")})
+    prints = {t: brute.text_print(t) for t in texts}
+    root = brute.groups(sorted(set(prints.values())), brute.near(list(prints.values())))
+    members = {}
+    for i, t, _ in rows:
+        members.setdefault(root[prints[t]], []).append((i, t))
+    for hot in (1000, 5, 1):
+        simhash.HOT, before = hot, simhash.HOT
+        try:
+            found = simhash.one_of_each(frame.repartition(5))
+            got = [(r["doc_id"], r["text"]) for r in found.collect()]
+        finally:
+            simhash.HOT = before
+        assert found.columns == frame.columns and len(got) == len(members)
+        for own in members.values():
+            first = min((i is None, i or 0) for i, _ in own)
+            (kept,) = [g for g in got if g in own and root[prints[g[1]]] == root[prints[own[0][1]]]]
+            assert (kept[0] is None, kept[0] or 0) == first
+    assert simhash.one_of_each(frame.limit(0)).count() == 0
