@@ -1,14 +1,16 @@
 """The stages against brute force, each on what its predecessor kept."""
 
+import zlib
 from collections import Counter
 
 import brute
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from dealflow.llm import mixing
 from dealflow.llm.common import table
-from test_packing import check as check_packing
+from test_packing import plain_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,8 +49,19 @@ def test_stages(spark):
     for i, text, _ in rows(mixed):
         words[i] += len(brute.WORD.findall(text))
     assert mixed.columns == names and words == +Counter(taken)
-    packed = stages["packing"](spark, mixed.dropDuplicates(["doc_id"]), SF).collect()
-    check_packing([r[:2] for r in rows(mixed.dropDuplicates(["doc_id"]))], packed)
+    packed = stages["packing"](spark, mixed, SF).collect()
+    want, fill = Counter(), Counter()
+    for i, text, _ in rows(mixed):
+        ids = plain_ids(text)
+        for n, start in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[start : start + 4096], "<u4")
+            want[i, n, start, len(part), zlib.crc32(part.tobytes())] += 1
+    assert max(Counter(r[0] for r in rows(mixed)).values()) > 1
+    assert want == Counter(tuple(r)[:5] for r in packed)
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= -(-fill.total() // 4096) + 1
 
 
 def test_run(spark):
@@ -66,3 +79,4 @@ def test_odd_rows(spark):
         if name != "packing":
             assert stage(spark, frame, SF).columns == frame.columns
     assert corpus_pipeline.drop_copies(spark, frame.where("doc_id = 1"), SF).count() == 1
+    assert corpus_pipeline.drop_copies(spark, frame.where("doc_id IS NULL").unionAll(frame.where("doc_id IS NULL")), SF).count() == 1
