@@ -12,12 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.operators.cells import (
-    assign_cells,
-    cell_hits,
-    nearest_cells,
-    spread_queries,
-)
+from dealflow.operators.cells import Placed, assign_cells, cell_hits, nearest_cells
 from dealflow.operators.knn import best_hits, collect_queries, scan_hits, usable_vectors
 from dealflow.session import materialise
 
@@ -83,5 +78,6 @@ def ivf_nearest(
         probed = [int(c) for c in np.flatnonzero(reach.any(axis=0))]
         hits = scan_hits(collected, placed.where(F.col("cell").isin(probed)), k, below, reach)
     else:
-        hits = cell_hits(spread_queries(queries, rule), placed, len(index.centroids), index.sizes, k, below)
+        stored = Placed(placed, index.centroids, index.sizes, np.empty(0), np.empty(0))
+        hits = cell_hits(queries, stored, rule, k, below)
     return best_hits(hits, collected, k)
