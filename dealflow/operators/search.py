@@ -123,11 +123,14 @@ def rerank_text(chars: int | None = None) -> Column:
     return text if chars is None else F.substring(text, 1, chars)
 
 
-def _model_scores(pairs: DataFrame, rerank_fn: RerankFn) -> DataFrame:
-    """Scores of one query's slice per call; a failing or short answer leaves them NULL."""
-
-    def score(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
+def _model_scores(pairs: DataFrame, queries: DataFrame, rerank_fn: RerankFn) -> DataFrame:
+    """Scores of one query's slice per call; a failing or short answer leaves them NULL. A query's text travels once, not with
+    each of its pairs."""
+
+    def score(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        part = part.merge(asked, on="query_id").sort_values("rank")
+        if part.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "rerank_score": []}).astype({"query_id": "int64", "id": "int64"})
         try:
             scores = list(rerank_fn(part["text"].iloc[0], part["passage"].tolist()))
         except Exception:  # noqa: BLE001 - a failing model leaves the vector order as it is
@@ -137,7 +140,8 @@ def _model_scores(pairs: DataFrame, rerank_fn: RerankFn) -> DataFrame:
         out["rerank_score"] = out["rerank_score"].astype("float64")
         return out
 
-    return pairs.groupBy("query_id").applyInPandas(score, "query_id long, id long, rerank_score double")
+    schema = "query_id long, id long, rerank_score double"
+    return pairs.groupBy("query_id").cogroup(queries.groupBy("query_id")).applyInPandas(score, schema)
 
 
 def fuse(hits: DataFrame, limit: int) -> DataFrame:
@@ -193,6 +197,6 @@ def semantic_search(
         found = found.join(asked, "query_id").withColumn("rerank_score", score).drop("_asked")
     else:
         pairs = found.where(in_slice).select("query_id", "id", "rank", rerank_text(budget.rerank_chars).alias("passage"))
-        pairs = pairs.join(queries.select("query_id", "text"), "query_id")
-        found = found.join(_model_scores(pairs, rerank_fn), ["query_id", "id"], "left")
+        scores = _model_scores(pairs, queries.select("query_id", "text"), rerank_fn)
+        found = found.join(scores, ["query_id", "id"], "left")
     return fuse(found, limit).drop("rank")
