@@ -15,6 +15,7 @@ from dealflow.sources.listings import FILE_ORDER
 
 BUCKET = "bucket"
 SPREAD = 2  # partitions per touched bucket, so that few buckets share one
+PART_ROWS = 200_000  # of a touched bucket and its batch that meet in one partition; a bucket with more is several files
 
 
 @dataclass
@@ -178,22 +179,23 @@ class BucketStore:
         finally:
             self.release(version)
 
-    def _dealt(self, rows: DataFrame, parts: int) -> DataFrame:
-        return as_listings(rows).withColumn(BUCKET, self.bucket_of("url")).repartition(parts, BUCKET)
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows by bucket; Spark divides a large bucket among tasks, each of which writes a file of it."""
+        return as_listings(rows).withColumn(BUCKET, self.bucket_of("url")).hint("rebalance", BUCKET)
 
     def write(self, listings: DataFrame) -> int:
         """Store a whole table as a new snapshot and return its number."""
-        return self._change(lambda _: self._dealt(listings, self.buckets), replace=True, whole=True)
+        return self._change(lambda _: self._dealt(listings), replace=True, whole=True)
 
     def add(self, listings: DataFrame) -> int:
         """Add rows of new URLs, as an upload does: their buckets get a further file, nothing is read or rewritten."""
-        return self._change(lambda _: self._dealt(listings, self.buckets), replace=False)
+        return self._change(lambda _: self._dealt(listings), replace=False)
 
     def merge(self, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> int:
         """Upsert records (with ``seq``) into the newest snapshot and return the new one's number.
 
-        Only the touched buckets are read, joined and written, each as one file. Their rows and the batch are shuffled
-        once, by bucket; the join and the files then need no further shuffle.
+        Only the touched buckets are read, joined and written, a large one in parts by URL, each as one file. Their rows and
+        the batch are shuffled once, by bucket and part; the join and the files then need no further shuffle.
         """
         batch = materialise(batch, "batch")
         name = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -201,9 +203,13 @@ class BucketStore:
 
         def make(before: Manifest) -> DataFrame:
             buckets = self.touched(batch)
-            parts = max(1, min(self.buckets, SPREAD * len(buckets)))
-            together = (self.bucket_of, parts)
-            merged = upsert(self._rows(before, buckets), batch, as_of, updates, largest=before.largest, together=together)
+            stored = self._rows(before, buckets)
+            # Both counts come out of the files' footers.
+            pieces = -(-(stored.count() + batch.count()) // (PART_ROWS * max(1, len(buckets)))) or 1
+            parts = max(1, min(self.buckets, SPREAD * len(buckets))) * pieces
+            part_of = lambda url: F.pmod(F.xxhash64(url), F.lit(self.buckets * pieces))
+            together = (self.bucket_of if pieces == 1 else part_of, parts)
+            merged = upsert(stored, batch, as_of, updates, largest=before.largest, together=together)
             return merged.withColumn(BUCKET, self.bucket_of("url"))
 
         try:
