@@ -7,7 +7,7 @@ leftmost of equal ones. Equal windows have equal anchors at equal offsets, so wi
 the groups of equal anchors, and only anchors found twice are looked at. Neighbouring windows of one anchor are kept
 together as a snippet, the bytes they cover; equal snippets become one with a count. Snippets of different text under
 the same anchor are cut to the windows near each other and are indexed: shards of them get their suffix order and Burrows-Wheeler transform, and the transforms
-are merged by refining how their rows interleave, a symbol at a time, without sorting the suffixes again. The
+are merged by refining how their rows interleave, in prefixes of doubling length, without comparing the texts again. The
 refinement also gives the rows that have a common prefix of ``SPAN`` bytes, which are the repeated strings.
 """
 
@@ -170,7 +170,7 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     while True:
         key = rank * (len(joined) + len(ends) + 256)
         key[:-length] += rank[length:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, in whatever order they come
         step = np.append(0, np.diff(key[order]) != 0)
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(step)
@@ -184,30 +184,38 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def merge_transforms(transforms: list[np.ndarray], terminators: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """How the rows of the transforms interleave, and which rows begin a new prefix of ``depth`` symbols.
 
-    Rows start in the order of the transforms. A round sorts them by the symbol before each, which orders the rows one
-    symbol deeper; two neighbours share that longer prefix if their symbols and the prefixes behind agree. Rounds stop
-    when nothing changes.
+    A transform's rows sorted by their symbols are the rows of the suffixes one symbol longer; that gives the first symbol
+    of every row, its first class, and the row of the suffix one symbol shorter. A round refines the classes by those of the
+    suffixes as many symbols shorter as the classes are deep, so their depth doubles; the last round goes just to ``depth``.
+    Terminators are classes of their own, so nothing behind one is looked at. Rounds stop when all rows differ.
     """
-    symbols = np.concatenate(transforms)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), terminators)
-    prefix = np.zeros(len(symbols), np.int32)
-    row, fresh = np.empty_like(symbols), np.empty(len(symbols), bool)
-    for _ in range(depth):
-        for k, transform in enumerate(transforms):
-            row[source == k] = transform
-        order = np.argsort(row, kind="stable")
-        deeper, behind, symbol = source[order], prefix[order], row[order]
-        deeper[: len(ends)] = ends
-        np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
-        fresh[1:] |= behind[1:] != behind[:-1]
-        fresh[: len(ends) + 1] = True
-        longer = np.cumsum(fresh, dtype=np.int32)
-        same = longer[-1] == prefix[-1] and np.array_equal(longer, prefix) and np.array_equal(deeper, source)
-        source, prefix = deeper, longer
-        if same:
+    shorter, prefix, start, ended = [], [], 0, 0
+    for transform, ends in zip(transforms, terminators, strict=True):
+        order = np.argsort(transform, kind="stable")
+        first = transform[order].astype(np.int64) + sum(terminators)
+        first[:ends] = np.arange(ended, ended + ends)
+        shorter.append(order + start)
+        prefix.append(first)
+        start, ended = start + len(order), ended + ends
+    hops, prefix, reached = [np.concatenate(shorter)], np.concatenate(prefix), 1  # hop ``k`` leads 2^k symbols on
+    while reached < depth:
+        step = min(reached, depth - reached)
+        behind = prefix
+        for k, hop in enumerate(hops):
+            if step >> k & 1:
+                behind = behind[hop]
+        key = prefix * (int(prefix.max()) + 1) + behind
+        order = np.argsort(key)
+        key = key[order]
+        prefix[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        if prefix[order[-1]] == len(prefix) - 1:
             break
-    return source, np.append(True, prefix[1:] != prefix[:-1])
+        hops.append(hops[-1][hops[-1]])
+        reached += step
+    order = np.argsort(prefix, kind="stable")
+    prefix = prefix[order]
+    return source[order], np.append(True, prefix[1:] != prefix[:-1])
 
 
 def repeated_windows(strings: list[bytes], span: int = SPAN, shard_bytes: int | None = None) -> list[np.ndarray]:

@@ -88,3 +88,20 @@ def test_suffix_order_is_that_of_sorting():
     suffix = lambda p: [(number[q], 0) if q in number else (1000, joined[q]) for q in range(p, min(e for e in number if e >= p) + 1)]
     assert order.tolist() == sorted(range(len(joined)), key=suffix)
     assert symbols.tolist() == [0 if p == 0 or joined[p - 1] == 0xFF else joined[p - 1] + 1 for p in order]
+
+
+def test_transforms_are_merged_in_few_sorts(monkeypatch):
+    rng = random.Random(8)
+    common = "".join(rng.choice("abc") for _ in range(230)).encode()
+    strings = [bytes([rng.choice(b"abc")]) + common[: rng.randrange(180, 231)] for _ in range(12)]
+    sorts, argsort = [], suffixes.np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    for span in (1, 2, 3, 7, 64, 200):
+        parts = [suffixes.suffix_order(strings[:6]), suffixes.suffix_order(strings[6:])]
+        sorts.clear()
+        suffixes.merge_transforms([p[1] for p in parts], [len(p[2]) for p in parts], span)
+        assert len(sorts) <= 3 + span.bit_length()
+        windows = [[s[i : i + span] for i in range(len(s) - span + 1)] for s in strings]
+        every = [w for own in windows for w in own]
+        found = suffixes.repeated_windows(strings, span, 500)
+        assert [f.tolist() for f in found] == [[i for i, w in enumerate(own) if every.count(w) > 1] for own in windows]
