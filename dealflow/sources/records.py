@@ -14,7 +14,6 @@ import io
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ WHOLE, FIRST, FURTHER = 0, 1, 2  # a record, the first piece of one, a later pie
 #: A line with a quoted cell left open: whole cells, each with its comma, then a quote without its counterpart.
 OPEN = re.compile(r'(?:(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?+,)*+"(?:[^"]|"")*+')
 MOST_HEADERS = 100  # different header rows of the files read together
+ROWS = 500  # rows of an Arrow batch that are Python texts at once
 _BLOCK = list(ORIGIN)
 _SUMMARY = "_file string, _block long, behind_closed boolean, behind_open boolean, rows_closed long, rows_open long, head string"
 _PIECES = "_file string, _block long, _index long, part int, text string"
@@ -62,6 +62,11 @@ class Walk:
         return starts
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, without a copy: a batch may have 10,000 long ones."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, len(batch), ROWS))
+
+
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
     for file, block, is_open, raw in zip(*[batch[c].to_pylist() for c in (*_BLOCK, "open", "text")], strict=True):
         for line, end in lines_of(raw):
@@ -82,7 +87,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*_BLOCK, "behind_closed", "behind_open", "rows_closed", "rows_open", "head"],
         )
 
-    for batch in batches:
+    for batch in _slices(batches):
         for place, _, line, end in _lines(batch):
             if place != at:
                 if at:
@@ -111,7 +116,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_BLOCK, "_index", "part", "text"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for place, is_open, line, end in _lines(batch):
             if place != at:
                 finish(walk.is_open)
@@ -216,12 +221,14 @@ def cells_of(text: str) -> list[str]:
     return next(csv.reader(io.StringIO(text, newline="")), [])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def cells(texts: pd.Series) -> pd.Series:
-    """The cells of records, read in one go where none of them is left open."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def cells(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The cells of records, a few records in one go where none of them is left open."""
     csv.field_size_limit(2**31 - 1)
-    rows = list(csv.reader(io.StringIO("\n".join(texts), newline="")))
-    return pd.Series(rows if len(rows) == len(texts) else [cells_of(t) for t in texts])
+    for part in _slices(texts):
+        own = part.to_pylist()
+        rows = list(csv.reader(io.StringIO("\n".join(own), newline="")))
+        yield pa.array(rows if len(rows) == len(own) else [cells_of(t) for t in own], pa.list_(pa.string()))
 
 
 def read_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

@@ -108,3 +108,20 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path, blocks):
     assert rows.count() == 60
     if blocks < 100:
         assert rows.rdd.getNumPartitions() > 6
+
+
+def test_few_rows_of_a_batch_are_texts_at_once():
+    import pyarrow as pa
+
+    from dealflow.sources import records
+
+    count = 3 * records.ROWS + 7
+    texts = [f'{i},"a\nb"' if i % 2 else f"{i},c" for i in range(count)]
+    lines = "\n".join(texts).split("\n")
+    batch = pa.RecordBatch.from_pydict({"_file": ["f"] * len(lines), "_block": [0] * len(lines), "open": [False] * len(lines), "text": lines})
+    found = list(records._pieces(iter([batch])))
+    assert max(len(b) for b in found) <= records.ROWS
+    assert [t for b in found for t in b["text"].to_pylist()] == texts
+    parts = list(records.cells.func(iter([pa.array(texts)])))
+    assert max(map(len, parts)) <= records.ROWS
+    assert [c for p in parts for c in p.to_pylist()] == [[str(i), "a\nb" if i % 2 else "c"] for i in range(count)]
