@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,34 @@ GRAM = 3
 RAREST = 4  # postings that a request intersects
 SCANNED_SHARE = 0.1  # of the rows: requests whose rarest gram is in more are answered by a scan
 MOST_LITERALS = 1000  # grams named in a filter, so that the files without them are skipped
-ROWS_PER_FILE = 5_000_000
-PIECE = 100_000  # postings written together
-_POSTINGS, _COUNTS = "gram string, id long", "gram string, rows long"
+ROWS_PER_FILE = 5_000_000  # postings
+PIECE = 1_000_000  # postings listed together: bound of a row's ids
+CODE = 21  # bits of a character
+_POSTINGS, _COUNTS = "gram string, ids array<long>", "gram string, rows long"
 
 
 def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
+def gram_codes(text: str) -> np.ndarray:
+    """The same as sorted numbers of three times ``CODE`` bits."""
+    at = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes = np.sort(at[:-2] << 2 * CODE | at[1:-1] << CODE | at[2:])
+    return codes[np.append(True, codes[1:] != codes[:-1])[: len(codes)]]
+
+
+def posting_lists(keys: list, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each three letters of some texts, with the keys of those that have them."""
+    every = np.concatenate(codes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    letters = ["".join(chr(g >> CODE * k & (1 << CODE) - 1) for k in (2, 1, 0)) for g in every[first].tolist()]
+    ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(every)), pa.int32()), pa.array(keys, pa.int64()).take(pa.array(owner)))
+    return pa.RecordBatch.from_arrays([pa.array(letters, pa.string()), ids], ["gram", "ids"])
+
+
 def fixed_parts(pattern: str) -> list[str]:
     """The texts between the wildcards of a LIKE pattern, which every match has."""
     parts = re.split(r"(?s)(?<!\\)((?:\\\\)*)[%_]", pattern)
@@ -37,8 +57,9 @@ def fixed_parts(pattern: str) -> list[str]:
 class TextIndex:
     """For one snapshot the ids of the listings in which each three letters (lower-cased) occur in a searched column.
 
-    ``postings`` are sorted by letters and id in ranges, so that frequent letters are spread over tasks and files, and a
-    request skips the files without its letters; ``counts`` has the number of listings per three letters.
+    ``postings`` list the ids of some thousand texts in a row per three letters. They are sorted by letters and first id in
+    ranges, so that frequent letters are spread over tasks and files, and a request skips the files without its letters;
+    ``counts`` has the number of listings per three letters.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,25 +72,27 @@ class TextIndex:
         text = F.concat_ws("\x00", *[F.lower(c) for c in SEARCHED])
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, ids = [], []
+            keys, codes, count = [], [], 0
             for batch in batches:
                 for key, value in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-                    own = grams(value.as_py())
-                    found.extend(own)
-                    ids.extend([key] * len(own))
-                    if len(found) >= PIECE:
-                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], ["gram", "id"])
-                        found, ids = [], []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], ["gram", "id"])
+                    keys.append(key)
+                    codes.append(gram_codes(value.as_py()))
+                    count += len(codes[-1])
+                    if count >= PIECE:
+                        yield posting_lists(keys, codes)
+                        keys, codes, count = [], [], 0
+            if keys:
+                yield posting_lists(keys, codes)
 
         rows = listings.select(F.col("id").cast("long").alias("id"), F.make_valid_utf8(text).alias("text")).mapInArrow(post, _POSTINGS)
         raw = f"{index.path}/unsorted"
         rows.write.parquet(raw)
         stored = index.spark.read.schema(_POSTINGS).parquet(raw)
-        ranges = max(1, -(-stored.count() // ROWS_PER_FILE))
-        stored.repartitionByRange(ranges, "gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{index.path}/postings")
-        counts = index._postings().groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+        size = F.sum(F.size("ids").cast("long"))
+        ranges = max(1, -(-(stored.agg(size).first()[0] or 0) // ROWS_PER_FILE))
+        order = [F.col("gram"), F.get("ids", F.lit(0))]
+        stored.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.parquet(f"{index.path}/postings")
+        counts = index._postings().groupBy("gram").agg(size.alias("rows"))
         counts.repartitionByRange(max(1, ranges // 16), "gram").sortWithinPartitions("gram").write.parquet(f"{index.path}/counts")
         listings.agg(F.count(F.lit(1)).alias("rows")).write.parquet(f"{index.path}/total")
         target = index.spark._jvm.org.apache.hadoop.fs.Path(raw)
@@ -113,6 +136,7 @@ class TextIndex:
         rows = [(i, g, len(own)) for i, own in chosen.items() for g in own]
         wanted = self.spark.createDataFrame(rows, "query_id int, gram string, needed int")
         found = self._named(self._postings(), {g for _, g, _ in rows}).join(F.broadcast(wanted), "gram")
+        found = found.select("query_id", "needed", F.explode("ids").alias("id"))
         met = found.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
         return met.where("n = needed").select("query_id", "id")
 

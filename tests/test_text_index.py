@@ -56,3 +56,13 @@ def test_fixed_parts_of_patterns():
     assert fixed_parts("%a\\%b%c_d%") == ["", "a%b", "c", "d", ""]
     assert fixed_parts("%back\\\\%x") == ["", "back\\", "x"]
     assert grams("abcd") == {"abc", "bcd"} and grams("ab") == set()
+
+
+def test_postings_are_listed_by_letters(spark, table, tmp_path):
+    from dealflow.sources.text_index import CODE, gram_codes
+
+    for text in (*[t or "" for t in TEXTS], "a\U0001f600\x00b", "aaaa"):
+        assert ["".join(chr(g >> CODE * k & (1 << CODE) - 1) for k in (2, 1, 0)) for g in gram_codes(text).tolist()] == sorted(grams(text))
+    index = TextIndex.build(table.repartition(1), str(tmp_path / "i"))
+    rows = [(r["gram"], r["ids"]) for r in index._postings().collect()]
+    assert len(rows) == len({g for g, _ in rows}) and sum(len(ids) for _, ids in rows) > 4 * len(rows)
