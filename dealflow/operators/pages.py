@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +35,28 @@ ENDED_BY = {
 }
 
 
+#: Tags as nearly all are written, without references in their values; the parser reads others itself.
+START = re.compile(
+    r"""<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\r\n]+[a-zA-Z][a-zA-Z0-9-]*=(?:'[^'<>&]*'|"[^"<>&]*"|[^\s'"<>=`&/]+))*)[ \t\r\n]*>"""
+)
+ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9-]*)=(?:'([^']*)'|"([^"]*)"|([^\s'"]+))""")
+END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+# Elements whose content the parser reads in another way.
+OTHERWISE = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
+def attributes(text: str) -> list[tuple[str, str]]:
+    """Names and values of what ``START`` finds behind a tag's name."""
+    return [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(text)] if text else []
+
+
 class Node:
     """An element with its attributes, children and text pieces."""
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.content: list[Node | str] = []
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
+        self.classes = attrs["class"].split() if "class" in attrs else []
 
     def text(self) -> str:
         pieces, waiting = [], list(reversed(self.content))
@@ -56,7 +69,10 @@ class Node:
         return "".join(pieces)
 
     def first_text(self) -> str:
-        return next((c for c in self.content if isinstance(c, str)), "")
+        for c in self.content:
+            if isinstance(c, str):
+                return c
+        return ""
 
     def later_siblings(self, tag: str) -> list[Node]:
         around = self.parent.content if self.parent else []
@@ -64,18 +80,69 @@ class Node:
         return [c for c in around[at + 1 :] if isinstance(c, Node) and c.tag == tag]
 
 
+class Nodes(list[Node]):
+    """The elements of a page in document order, also by tag and by class."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tags: dict[str, list[Node]] = {}
+        self.classes: dict[str, list[Node]] = {}
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.tags.setdefault(node.tag, []).append(node)
+        for cls in dict.fromkeys(node.classes):
+            self.classes.setdefault(cls, []).append(node)
+
+
 class PageParser(HTMLParser):
     """Collects the elements of a page in document order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.here = Node("", {}, None)
-        self.nodes: list[Node] = []
+        self.nodes = Nodes()
+
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
+    def read(self, html: str) -> None:
+        """The whole page: its usual tags up to the first other one, then the rest as the parser does."""
+        at = 0
+        while (start := html.find("<", at)) >= 0:
+            found = START.match(html, start) or END.match(html, start)
+            if not found or (tag := found[1].lower()) in OTHERWISE:
+                break
+            if at < start:
+                self.handle_data(unescape(html[at:start]))
+            if found.re is END:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, attributes(found[2]))
+            at = found.end()
+        self.feed(html[at:])
+        self.close()
+
+    def parse_starttag(self, i):
+        found = START.match(self.rawdata, i)
+        tag = found[1].lower() if found else ""
+        if not found or tag in OTHERWISE:
+            return super().parse_starttag(i)
+        self.lasttag = tag
+        self.handle_starttag(tag, attributes(found[2]))
+        return found.end()
+
+    def parse_endtag(self, i):
+        found = END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if not found:
+            return super().parse_endtag(i)
+        self.handle_endtag(found[1].lower())
+        return found.end()
 
     def handle_starttag(self, tag, attrs):
         while tag in ENDED_BY.get(self.here.tag, ()):
             self.here = self.here.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.here)
+        node = Node(tag, {k: v or "" for k, v in attrs} if attrs else {}, self.here)
         self.here.content.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -101,15 +168,15 @@ class PageParser(HTMLParser):
             content.append(data)
 
 
-Selector = Callable[[list[Node]], Iterator[Node]]
+Selector = Callable[[Nodes], Iterator[Node]]
 
 
 def tagged(tag: str, cls: str | None = None) -> Selector:
-    return lambda nodes: (n for n in nodes if n.tag == tag and (cls is None or cls in n.classes))
+    return lambda nodes: (n for n in nodes.tags.get(tag, ()) if cls is None or cls in n.classes)
 
 
 def classed(cls: str) -> Selector:
-    return lambda nodes: (n for n in nodes if cls in n.classes)
+    return lambda nodes: iter(nodes.classes.get(cls, ()))
 
 
 def with_id(name: str) -> Selector:
@@ -119,7 +186,7 @@ def with_id(name: str) -> Selector:
 def value_after(label: str) -> Selector:
     """The span that follows a span whose text has the label."""
     return lambda nodes: (
-        s for n in nodes if n.tag == "span" and label in n.first_text() for s in n.later_siblings("span")
+        s for n in nodes.tags.get("span", ()) if label in n.first_text() for s in n.later_siblings("span")
     )
 
 
@@ -128,7 +195,7 @@ TEXT_FIELDS: dict[str, list[Selector]] = {
     "title": [tagged("h1")],
     "location": [tagged("h2", "gray"), classed("listing-location"), classed("business-location")],
     "description": [
-        lambda nodes: (n for n in nodes if n.tag == "div" and "businessDescription" in n.attrs.get("class", ""))
+        lambda nodes: (n for n in nodes.tags.get("div", ()) if "businessDescription" in n.attrs.get("class", ""))
     ],
     "price": [value_after("Asking Price:")],
     "gross_revenue": [value_after("Gross Revenue:")],
@@ -143,14 +210,14 @@ LINK_FIELDS: dict[str, list[Selector]] = {
     "phone": [
         lambda nodes: (
             a
-            for n in nodes
-            if n.tag == "span" and "Phone Number" in n.first_text() and n.parent
+            for n in nodes.tags.get("span", ())
+            if "Phone Number" in n.first_text() and n.parent
             for s in n.parent.later_siblings("span")
             for a in s.content
             if isinstance(a, Node) and a.tag == "a"
         )
     ],
-    "email": [lambda nodes: (n for n in nodes if n.tag == "a" and n.attrs.get("href", "").startswith("mailto:"))],
+    "email": [lambda nodes: (n for n in nodes.tags.get("a", ()) if n.attrs.get("href", "").startswith("mailto:"))],
 }
 
 
@@ -160,13 +227,12 @@ def page_fields(html: str, keep_blank: bool = False) -> dict[str, str]:
     ``keep_blank`` stops at the first element that exists, and tells such a blank (a space) from a missing field.
     """
     parser = PageParser()
-    parser.feed(html)
-    parser.close()
+    parser.read(html)
 
     def first(selectors: list[Selector], read: Callable[[Node], str]) -> str:
         for select in selectors:
             node = next(iter(select(parser.nodes)), None)
-            text = "" if node is None else re.sub(r"\s+", " ", read(node)).strip()
+            text = "" if node is None else " ".join(read(node).split())
             if text or (keep_blank and node is not None):
                 return text or " "
         return ""
@@ -188,9 +254,10 @@ def extract_pages(
     """
     names = [*TEXT_FIELDS, *LINK_FIELDS]
 
-    @F.pandas_udf(", ".join(f"{n} string" for n in names))
-    def fields(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_fields(h or "", legacy_na) for h in html], columns=names)
+    @F.arrow_udf(", ".join(f"{n} string" for n in names))
+    def fields(html: pa.Array) -> pa.Array:
+        found = [page_fields(h.as_py() or "", legacy_na) for h in html]
+        return pa.StructArray.from_arrays([pa.array([f[n] for f in found], pa.string()) for n in names], names)
 
     kept = [c for c in pages.columns if c != "html" and c not in RECORD_COLUMNS]
     found = pages.select(*kept, "url", fields("html").alias("f"))

@@ -133,3 +133,17 @@ def test_page_python_runs_once(spark):
     df = spark.createDataFrame([("u", PAGE)], "url string, html string")
     plan = pages.extract_pages(df, "S", "d")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and F is not None
+
+
+def test_usual_tags_do_not_need_the_general_parser(monkeypatch):
+    usual = "<H1 id=a>x</H1><div class='b broker-name' CLASS=\"c broker-name\">n</div><span>Asking Price:</span><span>5</span><a href='mailto:a@b'>m</a>"
+    odd = "<title><h1>no</h1></title><h1 x y=1>y</h1 ><a href=mailto:p/q&amp;r>m</a><script><h1>z</h1></script>"
+    general = []
+    for name in ("parse_starttag", "parse_endtag"):
+        own = getattr(pages.HTMLParser, name)
+        monkeypatch.setattr(pages.HTMLParser, name, lambda self, i, own=own: general.append(i) or own(self, i))
+    found = {k: v for k, v in pages.page_fields(usual).items() if v}
+    assert found == {"title": "x", "price": "5", "listed_by_name": "n", "email": "mailto:a@b"}
+    assert not general
+    pages.page_fields(odd)
+    assert general
