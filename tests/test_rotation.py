@@ -45,6 +45,16 @@ def test_random_vectors_and_copies(spark):
     assert len({r["query_id"] for r in joined.hits.collect()}) <= joined.pairs.count() < 0.05 * 405 * 1200
 
 
+def test_counts_of_pairs_leave_a_block_as_a_row_per_query(spark):
+    rng = np.random.default_rng(6)
+    corpus = rng.normal(size=(900, 32))
+    q, c = tables_of(spark, corpus[:300] + rng.normal(size=(300, 32)) * 0.2, corpus)
+    joined = rotation.threshold_join(q, cells.place(c), K, BELOW, rotation.leading(rotation.second_moment(c), BELOW))
+    assert joined.counts.agg(F.sum("n")).first()[0] == joined.pairs.count() > 300
+    # One block of rows meets one of queries.
+    assert joined.counts.count() == joined.counts.select("query_id").distinct().count() <= 300
+
+
 def test_a_third_of_the_rows_are_near_copies(spark):
     rng = np.random.default_rng(2)
     hot = rng.normal(size=24)
