@@ -35,7 +35,8 @@ def number_rows(df: DataFrame, column: str) -> DataFrame:
     blocks = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(_POSITION).alias("_first"))
     starts = running_starts(blocks, keys).select(_PART, _BLOCK, (F.col("_before") - F.col("_first")).alias("_offset"))
     return (
-        placed.join(starts, [_PART, _BLOCK])
+        # One short row per block and task; the rows themselves are not shuffled.
+        placed.join(F.broadcast(starts), [_PART, _BLOCK])
         .withColumn(column, F.col("_offset") + F.col(_POSITION))
         .drop(*keys, _POSITION, "_offset")
     )
