@@ -88,3 +88,26 @@ def test_flat_spectrum_and_empty_tables(spark):
     assert cells.bounded_hits(q.limit(0), c, K, BELOW).count() == 0
     one, same = tables_of(spark, np.ones((2, 3)), np.ones((5, 3)))
     assert [r[2] for r in best(cells.bounded_hits(one, same, K, BELOW))] == [0, 1, 2, 0, 1, 2]
+
+
+def test_a_block_meets_its_queries_in_slices(monkeypatch):
+    """Lists and best rows are held for a bounded number of queries, with the hits of the whole block."""
+    import pyarrow as pa
+
+    def block(key, **more):
+        vectors = np.random.default_rng(len(key)).standard_normal((50, 8)).tolist()
+        return pa.table({key: list(range(50)), "embedding": vectors, **more})
+
+    rows = block("id", cell=[i % 3 for i in range(50)])
+    asks = block("query_id", cells=pa.array([[0, 2], [1], [0, 1, 2], [], [2]] * 10, pa.list_(pa.int32())))
+    held = []
+    monkeypatch.setattr(cells, "sides", lambda r, a, *rest, sides=cells.sides: (held.append(a.num_rows), sides(r, a, *rest))[1])
+    monkeypatch.setattr(cells, "meet_in_blocks", lambda queries, placed, reach, compare, schema: compare)
+    compare, found = cells.cell_hits(None, None, None, 4, None), []
+    for most in (100, 7):
+        monkeypatch.setattr(cells, "SLICE_QUERIES", most)
+        found.append(sorted(compare(rows, asks).to_pydict().items()))
+        found[-1] = sorted(zip(*[v for _, v in found[-1]], strict=True))
+    assert held == [50] + [7] * 7 + [1]
+    assert found[0] == found[1] and len(found[0]) == 4 * 40
+    assert compare(rows, asks.slice(0, 0)).num_rows == 0
