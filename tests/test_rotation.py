@@ -111,3 +111,34 @@ def test_a_block_meets_its_queries_in_slices(monkeypatch):
     assert held == [50] + [7] * 7 + [1]
     assert found[0] == found[1] and len(found[0]) == 4 * 40
     assert compare(rows, asks.slice(0, 0)).num_rows == 0
+
+
+def test_all_that_is_compared_is_counted(spark, tmp_path):
+    """Of 60 copies of one vector every pair is compared, though none is listed one by one."""
+    from checks.queries import QUERIES
+
+    vectors = spark.createDataFrame([(i, [0.0, 1.0] + [0.0] * 6) for i in range(60)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in QUERIES["semantic_duplicates_pairs"](spark, str(tmp_path)).collect()] == [(60, False)]
+
+
+def test_pairs_leave_a_block_as_they_are_found(spark, monkeypatch):
+    """All pairs are listed, and no batch holds more than one step of the comparison."""
+    rng = np.random.default_rng(7)
+    corpus = rng.normal(size=(400, 16))
+    q, c = tables_of(spark, corpus[:200] + rng.normal(size=(200, 16)) * 0.2, corpus)
+    made = []
+    monkeypatch.setattr(rotation, "list_in_blocks", lambda asked, placed, reach, compare, schema: made.append(compare))
+    placed = cells.place(c)
+    joined = rotation.threshold_join(q, placed, K, 0.6, rotation.leading(rotation.second_moment(c), 0.6), many=10**6)
+    monkeypatch.undo()
+    whole = cells.list_in_blocks(q.withColumn("far", F.lit(0.6)), placed, cells.within_reach(placed.pivots, placed.low, placed.high), made[0], "query_id long, id long")
+    listed = {tuple(r) for r in whole.collect()}
+    assert len(listed) == whole.count() == joined.counts.agg(F.sum("n")).first()[0]
+    monkeypatch.setattr(rotation, "BLOCK_FLOATS", 100)
+    import pyarrow as pa
+
+    rows = pa.table({"id": list(range(400)), "embedding": corpus.tolist(), "cell": [i % 4 for i in range(400)], "block": [0] * 400})
+    asks = pa.table({"query_id": list(range(200)), "embedding": corpus[:200].tolist(), "cells": pa.array([[0, 1, 2, 3]] * 200, pa.list_(pa.int32()))})
+    batches = list(made[0](rows, asks))
+    assert len(batches) == 4 * 200 and max(b.num_rows for b in batches) <= 100
