@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from dealflow.operators.upsert import COLLECTOR_UPDATES, as_listings, has_url, known_urls, upsert
 from dealflow.schema import LISTING_SCHEMA
-from dealflow.session import materialise
+from dealflow.session import WorkTables, shuffles_removed
 from dealflow.sources.listings import FILE_ORDER
 
 BUCKET = "bucket"
 SPREAD = 2  # partitions per touched bucket, so that few buckets share one
 PART_ROWS = 200_000  # of a touched bucket and its batch that meet in one partition; a bucket with more is several files
+TURN_ROWS, MOST_TURNS = 1_000_000, 16  # of the touched buckets and their batch that are shuffled at once, and how often the batch is read at most
 
 
 @dataclass
@@ -152,26 +154,35 @@ class BucketStore:
         """Those URLs of the batch that are stored; only the URL column of the touched buckets is read."""
         return known_urls(self.rows_for(batch), batch)
 
-    def _store(self, rows: DataFrame, version: int) -> tuple[list[int], int]:
-        """Write ``rows`` with their ``bucket``; the buckets written and the largest id among them."""
-        folder = self._folder(version)
-        ordered = rows.sortWithinPartitions(BUCKET, FILE_ORDER)
-        ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
-        fs, path = self._files(folder)
+    def _written(self, version: int) -> list[int]:
+        fs, path = self._files(self._folder(version))
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        written = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}="))
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}="))
+
+    def _store(self, rows: DataFrame, version: int, more: bool = False) -> tuple[list[int], int]:
+        """Write ``rows`` with their ``bucket``; the buckets written and the largest id among them. ``more`` adds buckets to a version
+        that is being written."""
+        earlier = self._written(version) if more else []
+        ordered = rows.sortWithinPartitions(BUCKET, FILE_ORDER)
+        with shuffles_removed(self.spark):
+            writer = ordered.write.mode("append" if more else "overwrite").option("compression", "zstd")
+            writer.partitionBy(BUCKET).parquet(self._folder(version))
+        written = sorted(set(self._written(version)) - set(earlier))
         if not written:
             return [], 0
         stored = self.spark.read.schema(LISTING_SCHEMA).parquet(*[self._folder(version, b) for b in written])
         return written, stored.agg(F.max("id")).first()[0] or 0
 
     def _change(self, make, replace: bool, whole: bool = False) -> int:
-        """Claim the next number, write what ``make`` gives of the newest manifest, and commit."""
+        """Claim the next number, write what ``make`` gives of the newest manifest, frame after frame of different buckets, and commit."""
         version = (self.versions() or [0])[-1] + 1
         self._claim(version)
         try:
             before = self.manifest()
-            written, largest = self._store(make(before), version)
+            written, largest = [], 0
+            for turn, rows in enumerate(make(before)):
+                buckets, top = self._store(rows, version, more=True) if turn else self._store(rows, version)
+                written, largest = written + buckets, max(largest, top)
             kept = {} if whole else dict(before.buckets)
             for bucket in written:
                 kept[bucket] = [version] if replace else [*kept.get(bucket, []), version]
@@ -185,32 +196,38 @@ class BucketStore:
 
     def write(self, listings: DataFrame) -> int:
         """Store a whole table as a new snapshot and return its number."""
-        return self._change(lambda _: self._dealt(listings), replace=True, whole=True)
+        return self._change(lambda _: [self._dealt(listings)], replace=True, whole=True)
 
     def add(self, listings: DataFrame) -> int:
         """Add rows of new URLs, as an upload does: their buckets get a further file, nothing is read or rewritten."""
-        return self._change(lambda _: self._dealt(listings), replace=False)
+        return self._change(lambda _: [self._dealt(listings)], replace=False)
 
     def merge(self, batch: DataFrame, as_of=None, updates: list[str] = COLLECTOR_UPDATES) -> int:
         """Upsert records (with ``seq``) into the newest snapshot and return the new one's number.
 
         Only the touched buckets are read, joined and written, a large one in parts by URL, each as one file. Their rows and
-        the batch are shuffled once, by bucket and part; the join and the files then need no further shuffle.
+        the batch are shuffled once, by bucket and part; the join and the files then need no further shuffle. Many rows come in turns
+        of some buckets each, whose shuffle files go before the next turn.
         """
-        batch = materialise(batch, "batch")
+        work = WorkTables()
+        batch = work.materialise(batch, "batch", compression="zstd")
         name = "spark.sql.requireAllClusterKeysForCoPartition"
         usual = self.spark.conf.get(name)
 
-        def make(before: Manifest) -> DataFrame:
-            buckets = self.touched(batch)
-            stored = self._rows(before, buckets)
+        def make(before: Manifest) -> Iterator[DataFrame]:
+            touched = self.touched(batch)
             # Both counts come out of the files' footers.
-            pieces = -(-(stored.count() + batch.count()) // (PART_ROWS * max(1, len(buckets)))) or 1
-            parts = max(1, min(self.buckets, SPREAD * len(buckets))) * pieces
+            rows = self._rows(before, touched).count() + batch.count()
+            pieces = -(-rows // (PART_ROWS * max(1, len(touched)))) or 1
             part_of = lambda url: F.pmod(F.xxhash64(url), F.lit(self.buckets * pieces))
-            together = (self.bucket_of if pieces == 1 else part_of, parts)
-            merged = upsert(stored, batch, as_of, updates, largest=before.largest, together=together)
-            return merged.withColumn(BUCKET, self.bucket_of("url"))
+            turns = max(1, min(MOST_TURNS, len(touched), -(-rows // TURN_ROWS)))
+            for turn in range(turns):
+                buckets = touched[turn::turns]
+                here = batch if turns == 1 else batch.where(self.bucket_of("url").isin(buckets))
+                parts = max(1, min(self.buckets, SPREAD * len(buckets))) * pieces
+                together = (self.bucket_of if pieces == 1 else part_of, parts)
+                merged = upsert(self._rows(before, buckets), here, as_of, updates, largest=before.largest, together=together)
+                yield merged.withColumn(BUCKET, self.bucket_of("url"))
 
         try:
             # Rows that lie together by bucket also do by (bucket, URL).
@@ -218,3 +235,4 @@ class BucketStore:
             return self._change(make, replace=True)
         finally:
             self.spark.conf.set(name, usual)
+            work.drop()
